@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, langid, mixing, neardup, toxicity, unitdedup
+from tessera.llm import bpe, fingerprint, langid, mixing, neardup, pii, toxicity, unitdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_repeated_lines, op4_languages, op6_toxicity, op9_mixture)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_repeated_lines, op4_languages, op6_toxicity, op7_pii, op8_byte_bpe, op9_mixture)}
 ORACLE_SQL = {"op3_repeated_lines": unitdedup.ORACLE, "op9_mixture": mixing.oracle()}
