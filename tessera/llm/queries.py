@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprint, langid, mixing, neardup, pii, toxicity, unitdedup
+from tessera.llm import bpe, fingerprint, langid, mixing, mpegts, neardup, pii, toxicity, unitdedup, wacz
+from tessera.llm.shared import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.demux(mpegts.page_media(table(spark, sf_dir, "pages")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -48,5 +53,9 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_repeated_lines, op4_languages, op6_toxicity, op7_pii, op8_byte_bpe, op9_mixture)}
-ORACLE_SQL = {"op3_repeated_lines": unitdedup.ORACLE, "op9_mixture": mixing.oracle()}
+def op10_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wacz.read_pages(wacz.pack(table(spark, sf_dir, "pages"), Scratch(spark, "wacz")))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_repeated_lines, op4_languages, op5_transport_streams, op6_toxicity, op7_pii, op8_byte_bpe, op9_mixture, op10_web_archives)}
+ORACLE_SQL = {"op3_repeated_lines": unitdedup.ORACLE, "op9_mixture": mixing.oracle(), "op10_web_archives": wacz.ORACLE}
