@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tessera.llm import textkit as tk
 
@@ -297,7 +298,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """``docs`` without ``text``, with ``tokens``, ``n_tokens`` and ``round_trip`` (the decoded tokens equal the text)."""
     kept = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens", "round_trip")]
     source = docs.select(*kept, "text")
-    schema = docs.select(*kept).schema.add("tokens", "array<int>").add("n_tokens", "int").add("round_trip", "boolean")
+    schema = docs.select(*kept).schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         encoder, decoder = machines(vocabulary)
@@ -320,7 +321,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 def decode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``text`` made from ``tokens``; a null list gives a null text."""
     kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).schema.add("text", "string")
+    schema = docs.select(*kept).schema.add("text", T.StringType())
 
     def run(batches):
         decoder = machines(vocabulary)[1]

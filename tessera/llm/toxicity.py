@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textkit as tk
 
@@ -355,7 +356,7 @@ def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with ``toxic_score``, ``n_windows`` and ``is_toxic``; every overlapping window is scored."""
     names = [c for c in docs.columns if c not in ("toxic_score", "n_windows", "is_toxic")]
     source = docs.select(*names)
-    schema = source.schema.add("toxic_score", "float").add("n_windows", "int").add("is_toxic", "boolean")
+    schema = source.schema.add("toxic_score", T.FloatType()).add("n_windows", T.IntegerType()).add("is_toxic", T.BooleanType())
     holder: list[Model] = []
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
