@@ -99,17 +99,18 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and ``s``, the distinct shingles, of the wanted documents. Hashes of 64 bits stand for shingles."""
+    """doc_id and ``s``, the distinct shingles, of the wanted documents. Hashes of 32 bits stand for shingles: a chance match of two shingles of a pair has odds of 2**-32."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         h, start, _, _ = shingles(part.column("text"))
+        h = (h >> np.uint64(32)).astype(np.uint32)
         sets = [np.unique(h[lo:hi]) for lo, hi in zip(start[:-1], start[1:])]
         size = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), tk.ragged(flat, size, pa.int64())], names=["doc_id", "s"])
+        flat = np.concatenate(sets).view(np.int32) if sets else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), tk.ragged(flat, size, pa.int32())], names=["doc_id", "s"])
 
-    chosen = plain(docs).join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.mapInArrow(tk.over_slices(make, "text"), "doc_id bigint, s array<bigint>")
+    chosen = plain(docs).join(wanted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.mapInArrow(tk.over_slices(make, "text"), "doc_id bigint, s array<int>")
 
 
 def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
@@ -137,10 +138,10 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose exact Jaccard similarity reaches the threshold."""
-    left, right = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv"))
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
     small, large = F.least(F.size("su"), F.size("sv")), F.greatest(F.size("su"), F.size("sv"))
     common = F.size(F.array_intersect("su", "sv"))
-    joined = pairs.join(left, "u").join(right, "v").where(small >= threshold * large)
+    joined = left.join(pairs.hint("shuffle_hash"), "u").hint("shuffle_hash").join(right, "v").where(small >= threshold * large)
     return joined.where(common >= threshold * (small + large - common)).select("u", "v")
 
 
