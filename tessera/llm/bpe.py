@@ -295,7 +295,7 @@ def machines(path: str) -> tuple[Encoder, Decoder]:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` without ``text``, with ``tokens``, ``n_tokens`` and ``round_trip`` (the decoded tokens equal the text)."""
+    """``docs`` without ``text``, with ``tokens``, ``n_tokens`` and ``round_trip`` (the decoded tokens equal the text); columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens", "round_trip")]
     source = docs.select(*kept, "text")
     schema = docs.select(*kept).schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())

@@ -87,9 +87,11 @@ def sample(docs: DataFrame, weights: dict[str, float] | None = None, rate: float
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE) -> DataFrame:
     """``docs`` with every row repeated as often as it was drawn; columns unchanged."""
-    drawn = sample(docs, weights, rate).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"), F.col("source").alias("__source"), F.col("n_chars").alias("__n"))
-    on = (F.col("doc_id") == F.col("__id")) & (F.col("source") == F.col("__source")) & (F.length("text") == F.col("__n"))
-    return docs.join(drawn, on).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    drawn = sample(docs, weights, rate)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    on = (F.col("row.doc_id") == drawn["doc_id"]) & (F.col("row.source") == drawn["source"]) & (F.length("row.text") == drawn["n_chars"])
+    copies = rows.join(drawn, on).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def oracle(weights: dict[str, float] | None = None, rate: float = RATE) -> str:

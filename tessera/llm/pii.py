@@ -265,11 +265,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; a column ``n_chars``, where there is one, follows the new text."""
+    """``docs`` with every span replaced by its kind in brackets; an integer column ``n_chars``, where there is one, follows the new text."""
     model = trained()
     weights, moves = model.weights, model.moves
     holder: list[Model] = []
-    length = "n_chars" in docs.columns
+    length = dict(docs.dtypes).get("n_chars") in ("int", "bigint")
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:

@@ -30,7 +30,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import textkit as tk
 
@@ -38,7 +37,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ATT = 8, 12, 8
 BUCKETS, MAX_WORDS = 8192, 6000
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
-BLOCK = 4096
+BLOCK, SLICE = 4096, 4_000_000
 
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -352,32 +351,45 @@ def hash_id(x: int) -> int:
     return (x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
 
 
-def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` with ``toxic_score``, ``n_windows`` and ``is_toxic``; every overlapping window is scored."""
-    names = [c for c in docs.columns if c not in ("toxic_score", "n_windows", "is_toxic")]
-    source = docs.select(*names)
-    schema = source.schema.add("toxic_score", T.FloatType()).add("n_windows", T.IntegerType()).add("is_toxic", T.BooleanType())
+def scorer(model: bytes):
+    """A function from a slice's texts to (highest logit, windows, rejected) arrays; it loads the model once per task."""
     holder: list[Model] = []
 
-    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+    def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not holder:
             holder.append(Model.loads(model))
-        m, w = holder[0], words_of(part.column("text"))
+        m, w = holder[0], words_of(texts)
         start, length, row = window_table(w.offsets)
-        count = np.bincount(row, minlength=part.num_rows).astype(np.int32)
-        best = highest(m.score(m.inputs(w.vocab), w.codes, start, length), row, part.num_rows)
-        flag = (best >= m.threshold) & (count > 0)
-        best = np.where(count > 0, sigmoid(best), 0).astype(np.float32)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(best), pa.array(count), pa.array(flag)], names=[*part.schema.names, "toxic_score", "n_windows", "is_toxic"])
+        count = np.bincount(row, minlength=len(texts)).astype(np.int32)
+        best = highest(m.score(m.inputs(w.vocab), w.codes, start, length), row, len(texts))
+        return best, count, (best >= m.threshold) & (count > 0)
+
+    return score
 
-    return source.mapInArrow(tk.over_slices(make, "text", 4_000_000), schema)
+
+def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
+    """doc_id, toxic_score, n_windows and is_toxic of every document; every overlapping window is scored."""
+    score = scorer(model)
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        best, count, flag = score(part.column("text"))
+        prob = np.where(count > 0, sigmoid(best), 0).astype(np.float32)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prob), pa.array(count), pa.array(flag)], names=["doc_id", "toxic_score", "n_windows", "is_toxic"])
+
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    return rows.mapInArrow(tk.over_slices(make, "text", SLICE), "doc_id bigint, toxic_score float, n_windows int, is_toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, toxic_score, n_windows, is_toxic."""
-    return score_texts(docs.select("doc_id", "text"), train_on(docs, labels)).drop("text")
+    return score_texts(docs, train_on(docs, labels))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the network rejects; columns unchanged."""
-    return score_texts(docs, train_on(docs, labels)).where(~F.col("is_toxic")).select(*docs.columns)
+    score = scorer(train_on(docs, labels))
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array(~score(part.column(part.schema.get_field_index("text")))[2]))
+
+    return docs.mapInArrow(tk.over_slices(make, "text", SLICE), docs.schema)
