@@ -38,6 +38,7 @@ HIDDEN, DIM, ATT = 8, 12, 8
 BUCKETS, MAX_WORDS = 8192, 6000
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 BLOCK, SLICE = 4096, 4_000_000
+MIN_STEPS, CLEAN_LOSS = 300, 0.05
 
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -119,7 +120,8 @@ class Model:
         n = np.maximum(np.diff(start), 1)[:, None].astype(np.float32)
         out = np.zeros((len(vocab) + 1, 2, 3 * HIDDEN), np.float32)
         if len(vocab):
-            x = np.add.reduceat(self.p["Ec"][codes], start[:-1], axis=0) / n + self.p["Ew"][self.word_ids(vocab)]
+            padded = np.concatenate([self.p["Ec"][codes], np.zeros((1, DIM), np.float32)])  # an entry without trigrams, which no text uses, may come last
+            x = np.add.reduceat(padded, start[:-1], axis=0) / n + self.p["Ew"][self.word_ids(vocab)]
             for k, d in enumerate("fb"):
                 out[:-1, k] = x @ self.p[f"W{d}"] + self.p[f"B{d}"]
         return out
@@ -253,7 +255,11 @@ class Adam:
 
 
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) -> Model:
-    """Fit on labelled texts; a fifth, chosen by row number, sets the threshold."""
+    """Fit on labelled texts; a fifth, chosen by row number, sets the threshold.
+
+    At least ``epochs`` passes and ``MIN_STEPS`` gradient steps are made, so that a small
+    labelled table is learnt as well as a large one. The threshold is never under even odds.
+    """
     toxic = np.asarray(toxic, dtype=np.float32)
     w = words_of(pa.array(texts, pa.string()))
     if not len(w.codes) or toxic.min(initial=1) == toxic.max(initial=0):
@@ -269,9 +275,13 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
     y, weight = toxic[row], np.ones(len(row), np.float32)
     adam, g = Adam(model.p, 0.01), np.random.default_rng(seed)
     codes = np.concatenate([w.codes.astype(np.int64), np.full(WINDOW, -1)])
-    size = 512
+    size = 256
+    bad = int((y[train] == 1).sum())
+    each = -(-(bad + min(len(train) - bad, 2 * bad)) // size)
+    epochs = max(epochs, -(-MIN_STEPS // max(each, 1)))
+    warm = epochs * 2 // 9
     for epoch in range(epochs):
-        if epoch >= 2:
+        if epoch >= warm:
             score = model.score(model.inputs(w.vocab), w.codes, start, length)
             best = highest(score, row, len(texts))
             sure = (score >= 0) | (score >= best[row])
@@ -281,7 +291,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
         if not len(bad) or not len(clean):
             continue
         clean = g.permutation(clean)
-        if epoch >= 2:  # most of the clean windows are those that look most toxic
+        if epoch >= warm:  # most of the clean windows are those that look most toxic
             clean = np.concatenate([clean[np.argsort(-score[clean], kind="stable")[: len(bad) + 2000]], clean[: len(bad) // 2 + 1000]])
         else:
             clean = clean[: 2 * len(bad)]
@@ -302,7 +312,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
             grad, _ = model.gradient((x.astype(np.float32), word_rows[ids], t, sub), at, length[b], y[b], weight[b])
             adam.step(grad)
     best = highest(model.score(model.inputs(w.vocab), w.codes, start, length), row, len(texts))
-    model.threshold = choose_threshold(best[held], toxic[held]) if held.any() else choose_threshold(best, toxic)
+    model.threshold = max(0.0, choose_threshold(best[held], toxic[held]) if held.any() else choose_threshold(best, toxic))
     return model
 
 
@@ -315,15 +325,21 @@ def highest(score: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def choose_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The logit in the middle of the widest gap among the cuts of best F0.5 (precision counts double, as rejected documents are lost)."""
+def choose_threshold(score: np.ndarray, y: np.ndarray, loss: float = CLEAN_LOSS) -> float:
+    """The logit in the middle of the widest gap among the cuts of best F0.5 (precision counts double, as rejected documents are lost).
+
+    Only cuts that reject at most the share ``loss`` of the clean documents (or one) count; without one, the cut lies above all scores.
+    """
     order = np.argsort(-score, kind="stable")
     s, hit = score[order], np.cumsum(y[order])
     n = np.arange(1, len(s) + 1)
     f = 1.25 * hit / (n + 0.25 * max(float(y.sum()), 1e-9))
     after = np.append(s[1:], -30)
-    ok = (f >= f.max() - 1e-9) & (s > after)
-    at = max(np.flatnonzero(ok), key=lambda i: s[i] - after[i], default=0)
+    ok = (s > after) & (n - hit <= max(1, loss * (len(y) - y.sum())))
+    if not ok.any():
+        return float(s[0]) + 1.0
+    ok &= f >= f[ok].max() - 1e-9
+    at = max(np.flatnonzero(ok), key=lambda i: s[i] - after[i])
     return float((s[at] + after[at]) / 2)
 
 
@@ -343,7 +359,8 @@ def train_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.dumps()], pa.binary())})
 
-    return sample.repartition(1).mapInArrow(run, "model binary").first()["model"]
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()  # no row where nothing is labelled
+    return made["model"] if made else fit([], np.zeros(0)).dumps()
 
 
 def hash_id(x: int) -> int:

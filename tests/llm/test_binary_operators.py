@@ -76,7 +76,7 @@ def test_repeats_garbage_and_torn_ends():
     streams, dropped = mpegts.demux_one(bytes(bad))
     assert dropped == 1 and video(streams).n_packets == len(packets) - 3
     wrong = bytearray(media)
-    wrong[10] ^= 1  # program table with a wrong checksum
+    wrong[180] ^= 1  # in the program table, which ends its packet (stuffing comes first): a wrong checksum
     assert mpegts.demux_one(bytes(wrong))[0] == []
 
 
