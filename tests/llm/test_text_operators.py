@@ -190,15 +190,26 @@ def test_signature_does_not_depend_on_slices():
 
 
 def slow_removals(rows, least=unitdedup.MIN_WORDS):
+    """(doc_id, unit, part, start, end, kept doc_id, unit, part, start), by one walk over all lines and sentences in order."""
     seen, out = {}, set()
     for i, t in sorted({(i, t) for i, t, _ in rows if i is not None and t is not None}):
         at = 0
         for no, line in enumerate(t.split("\n")):
-            words = line.lower().split()
-            if len(words) >= least:
-                kept = seen.setdefault(" ".join(words), (i, no, at))
-                if kept[:2] != (i, no):
-                    out.add((i, no, at, at + len(line), *kept))
+            pieces, begin = [(0, at, line)], at
+            cuts = [k + 1 for k, c in enumerate(line) if c in ".!?" and line[k + 1 : k + 2] not in tuple(".!?")]
+            parts = [line[a:b] for a, b in zip([0, *cuts], [*cuts, len(line)]) if b > a]
+            for k, part in enumerate(parts, 1):
+                if sum(bool(x.split()) for x in parts) > 1:
+                    pieces.append((k, begin, part))
+                begin += len(part)
+            gone = False
+            for k, start, piece in pieces:
+                words = piece.lower().split()
+                if len(words) >= least:
+                    kept = seen.setdefault(" ".join(words), (i, no, k, start))
+                    if kept[:3] != (i, no, k) and not gone:
+                        out.add((i, no, k, start, start + len(piece), *kept))
+                        gone = k == 0
             at += len(line) + 1
     return out
 
@@ -215,15 +226,32 @@ def test_removals_against_a_loop(spark):
     assert got == slow_removals(rows) and len(got) > 50
 
 
+def test_passage_inside_a_longer_line(spark):
+    passage = "Long ago the ferry crossed the wide river twice a day. Nobody recalls who rang the old bronze bell at noon!"
+    rows = [(1, passage, "a"), (2, f"Something else came first. {passage} Then it ended.", "a"), (3, f"x\n{passage}", "b"), (4, "Long ago the ferry.", "b")]
+    got = {(r.doc_id, r.unit_no, r.part_no, r.kept_doc_id) for r in unitdedup.removals(frame(spark, rows)).collect()}
+    assert got == {(2, 0, 2, 1), (2, 0, 3, 1), (3, 1, 0, 1)}
+    text = {r.doc_id: r.text for r in unitdedup.rewrite(frame(spark, rows)).collect()}
+    assert text == {1: passage, 2: "Something else came first. Then it ended.", 3: "x", 4: rows[3][1]}
+
+
 def test_rewrite_cuts_what_is_removed(spark):
     rows = lined()
     cut = slow_removals(rows)
     got = {r.doc_id: r for r in unitdedup.rewrite(frame(spark, rows)).collect()}
     for i, t, _ in rows:
-        gone = {no for d, no, *_ in cut if d == i}
-        assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        gone = {no for d, no, part, *_ in cut if d == i and part == 0}
+        lines, at, left = t.split("\n"), 0, []
+        for no, line in enumerate(lines):
+            spans = sorted((a - at, b - at) for d, n, part, a, b, *_ in cut if d == i and n == no and part)
+            for a, b in reversed(spans):
+                lines[no] = lines[no][:a] + lines[no][b:]
+            at += len(line) + 1
+            if no not in gone:
+                left.append(lines[no])
+        assert got[i].text == "\n".join(left)
         spans = [(r.start, r.end) for r in got[i].removed or []]
-        assert spans == sorted((a, b) for d, _, a, b, *_ in cut if d == i)
+        assert spans == sorted((a, b) for d, _, _, a, b, *_ in cut if d == i)
     assert sum(map(len, (r.text for r in got.values()))) < sum(len(t) for _, t, _ in rows)
 
 
