@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
+BUCKETS = 4096
 
 
 def running_before(df: DataFrame, value: Column, order: str = "pos", buckets: int = BUCKETS) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of lesser ``order``.
 
-    The order key falls into buckets that keep its order: a text's first two
+    The order key falls into buckets that keep its order: a text's first three
     characters (a seeded shuffle's keys are even over them), equal spans of a number.
     Bucket sums are few rows, their prefix sums are joined back, and each bucket
     runs its own window.
@@ -36,7 +36,7 @@ def running_before(df: DataFrame, value: Column, order: str = "pos", buckets: in
     kind = dict(df.dtypes)[order]
     d = df.withColumn("__v", value.cast("bigint"))
     if kind == "string":
-        d = d.withColumn("__b", F.substring(order, 1, 2))
+        d = d.withColumn("__b", F.substring(order, 1, 3))
     else:
         key = F.col(order) if not kind.startswith("struct") else F.col(order)[df.schema[order].dataType.names[0]]
         span = df.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))

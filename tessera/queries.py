@@ -213,8 +213,8 @@ def streaming_dedup_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", name).parquet(sf_dir)
     rows = stream.select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), F.sha2("text", 256).alias("fingerprint"), F.octet_length("text").cast("bigint").alias("target_tokens"), F.expr(REASON.format(b="text")).alias("rejection"))
     root = f"{folder(spark)}/stream-{os.urandom(8).hex()}"
-    ingest.run(rows, f"{root}/outcomes".removeprefix("file://"), f"{root}/checkpoint", QUOTAS)
-    done = ingest.outcomes(spark, f"{root}/outcomes".removeprefix("file://"))
+    ingest.run(rows, f"{root}/outcomes", f"{root}/checkpoint", QUOTAS)
+    done = ingest.outcomes(spark, f"{root}/outcomes")
     return done.where("outcome = 'accepted'").select("source", "fingerprint", "target_tokens")
 
 

@@ -9,7 +9,6 @@ rows count once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +21,14 @@ STATE = ST.StructType([ST.StructField("fingerprint", ST.StringType()), ST.Struct
 
 def outcomes(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """All outcomes written so far (those of batches under ``before``)."""
-    found = [str(p) for p in sorted(Path(root).glob("batch=*")) if before is None or int(p.name.split("=")[1]) < before]
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*")
+    listed = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(pattern)
+    paths = sorted(s.getPath().toString() for s in listed or [])
+    found = [p for p in paths if before is None or int(p.rsplit("=", 1)[1]) < before]
     return spark.read.schema(STATE).option("basePath", root).parquet(*found) if found else spark.createDataFrame([], STATE)
 
 
-def handler(root: str, quotas: dict[str, int], small: bool = True) -> Callable[[DataFrame, int], None]:
+def handler(root: str, quotas: dict[str, int], small: bool = False) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function. Rows need source, pos, fingerprint, rejection and target_tokens."""
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -35,16 +37,17 @@ def handler(root: str, quotas: dict[str, int], small: bool = True) -> Callable[[
         done = outcomes(spark, root, number).where("outcome = 'accepted'")
         have = {r["source"]: r["n"] for r in done.groupBy("source").agg(F.sum("target_tokens").alias("n")).collect()}
         here = sorted(r["source"] for r in batch.select("source").distinct().collect())
-        out: DataFrame | None = None
+        at, wrote = f"{root}/batch={number}", False
         for name in here:
             left = quotas.get(name, 0) - have.get(name, 0)
             if left <= 0:
                 continue
-            accepted = done.select("fingerprint") if out is None else done.select("fingerprint").unionByName(out.where("outcome = 'accepted'").select("fingerprint"))
+            accepted = done.select("fingerprint")
+            if wrote:  # what the batch's earlier sources accepted is read back, so no source replays another
+                accepted = accepted.unionByName(spark.read.schema(STATE[:-1]).parquet(at).where("outcome = 'accepted'").select("fingerprint"))
             one = mixture.decide(batch.where(F.col("source") == name), accepted, left, small)
-            out = one if out is None else out.unionByName(one)
-        if out is not None:
-            out.select("fingerprint", "source", F.col("target_tokens").cast("bigint"), "outcome").write.mode("overwrite").parquet(f"{root}/batch={number}")
+            one.select("fingerprint", "source", F.col("target_tokens").cast("bigint"), "outcome").write.mode("append" if wrote else "overwrite").parquet(at)
+            wrote = True
         batch.unpersist()
 
     return handle
