@@ -116,11 +116,15 @@ def best_fit(lengths: list[int], size: int) -> list[int]:
     return out
 
 
-PACKED = "bin_id string, seg_no int, row_id string, input_ids array<int>, labels array<int>, position_ids array<int>"
+PACKED = "bin_id string, seg_no int, row_id string, input_ids array<int>, labels array<int>, position_ids array<int>, fault string"
 
 
 def pack(df: DataFrame, row_id: str, max_length: int = 2048, groups: int | None = None) -> DataFrame:
-    """Pack rows into bins of at most ``max_length`` ids by best-fit decreasing.
+    """Pack rows into bins of at most ``max_length`` ids by best-fit decreasing. Every row comes back once.
+
+    A row that fits no bin is returned whole with a ``fault``, as ``fault()`` names it:
+    ``too_long`` in a bin of its own, which is over ``max_length``; ``empty`` and
+    ``missing`` (null ids) in no bin. ``fault`` is null for packed rows.
 
     Rows are spread over ``groups`` by a hash of their id and packed inside each, so
     packing is parallel and the result does not depend on partitioning; a group's
@@ -134,15 +138,23 @@ def pack(df: DataFrame, row_id: str, max_length: int = 2048, groups: int | None
         held: list[dict] = []
 
         def flush() -> pa.RecordBatch:
-            bins = best_fit([len(r["input_ids"]) for r in held], max_length)
+            fit = [r for r in held if r["fault"] is None]
+            bins = best_fit([len(r["input_ids"]) for r in fit], max_length)
             seen: dict[int, int] = {}
             rows = []
-            for r, b in sorted(zip(held, bins), key=lambda p: (p[1], -len(p[0]["input_ids"]), p[0]["row_id"])):
+            for r, b in sorted(zip(fit, bins), key=lambda p: (p[1], -len(p[0]["input_ids"]), p[0]["row_id"])):
                 seen[b] = seen.get(b, -1) + 1
-                rows.append((f"{r['g']}-{b}", seen[b], r["row_id"], r["input_ids"], r["labels"], list(range(len(r["input_ids"])))))
+                rows.append((f"{r['g']}-{b}", seen[b], r["row_id"], r["input_ids"], r["labels"], list(range(len(r["input_ids"]))), None))
+            b = len(seen)
+            for r in held:
+                if r["fault"] == "too_long":
+                    rows.append((f"{r['g']}-{b}", 0, r["row_id"], r["input_ids"], r["labels"], list(range(len(r["input_ids"]))), r["fault"]))
+                    b += 1
+                elif r["fault"] is not None:
+                    rows.append((None, None, r["row_id"], r["input_ids"], r["labels"], None, r["fault"]))
             cols = list(zip(*rows))
             ints = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), ints, ints, ints))], names=["bin_id", "seg_no", "row_id", "input_ids", "labels", "position_ids"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), ints, ints, ints, pa.string()))], names=["bin_id", "seg_no", "row_id", "input_ids", "labels", "position_ids", "fault"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -154,5 +166,7 @@ def pack(df: DataFrame, row_id: str, max_length: int = 2048, groups: int | None
             yield flush()
 
     group = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(groups)).alias("g")
-    rows = df.where(F.size("input_ids").between(1, max_length)).select(group, F.col(row_id).cast("string").alias("row_id"), F.col("input_ids").cast("array<int>"), F.col("labels").cast("array<int>"))
+    size = F.size("input_ids")
+    wrong = F.when(F.col("input_ids").isNull(), "missing").when(size == 0, "empty").when(size > max_length, "too_long").alias("fault")
+    rows = df.select(group, F.col(row_id).cast("string").alias("row_id"), F.col("input_ids").cast("array<int>"), F.col("labels").cast("array<int>"), wrong)
     return rows.repartition("g").sortWithinPartitions("g", "row_id").mapInArrow(run, PACKED)

@@ -370,6 +370,7 @@ def wordpiece_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of all conversations; one over 4096 ids is a bin of its own with the fault too_long."""
     c = byte_compiled(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     p = precompiled.pack(c, "conv_id", 4096)
-    return p.groupBy("bin_id").agg(F.count("*").alias("segments"), F.sum(F.size("input_ids")).alias("used"))
+    return p.groupBy("bin_id", "fault").agg(F.count("*").alias("segments"), F.sum(F.size("input_ids")).alias("used"))

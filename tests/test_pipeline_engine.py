@@ -138,6 +138,22 @@ def test_packing_keeps_all_and_fits(spark):
     assert all(sum(x) <= 20 for x in bins.values()) and len(bins) <= 1.15 * sum(len(r[1]) for r in rows) / 20 + 3
 
 
+def test_packing_reports_rows_that_fit_no_bin(spark):
+    rows = [("a", [1] * 5, [1] * 5), ("b", [2] * 21, [2] * 21), ("c", [3] * 30, [3] * 30), ("d", [], []), ("e", None, None), ("f", [4] * 20, [4] * 20)]
+    got = precompiled.pack(spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>"), "id", 20, groups=1).collect()
+    assert sorted((r.row_id, r.fault) for r in got if r.fault) == [("b", "too_long"), ("c", "too_long"), ("d", "empty"), ("e", "missing")]
+    assert sorted((r.row_id, r.input_ids, r.labels) for r in got) == rows
+    assert len({r.bin_id for r in got if r.row_id in "abcf"}) == 4 and all(r.bin_id is None for r in got if r.row_id in "de")
+
+
+def test_every_conversation_is_in_a_bin(spark, data):
+    from tessera.queries import QUERIES
+
+    bins = QUERIES["bfd_pack"](spark, data).collect()
+    assert sum(r.segments for r in bins) == spark.read.parquet(f"{data}/conversations.parquet").select("conv_id").distinct().count()
+    assert all((r.used > 4096) == (r.fault == "too_long") for r in bins)
+
+
 def test_best_fit_against_a_plain_loop():
     import random
 
