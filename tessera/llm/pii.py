@@ -7,6 +7,11 @@ two neighbours, so emissions are sums of three table rows. The model is trained
 by gradient ascent of the conditional likelihood on the labelled table of
 ``pii_table``; sentence ends count as tag O on both sides.
 
+A token whose core is longer than ``LONG`` (minified JSON or CSV, a URL, a script
+written without spaces) is no word: it is cut at delimiters and at changes between
+scripts with and without letter case, and its pieces are the tokens of the chain.
+Shapes are taken of whole pieces, however long.
+
 Decoding is exact. Where O beats every other tag of a token by more than twice
 the span of the transition weights, no best path leaves O there (replacing the
 tag by O would gain), so the chain falls apart at such tokens and Viterbi runs
@@ -36,6 +41,14 @@ LEAD, TAIL = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
 RUNS = re.compile(r"(X+|x+|9+|H+)")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{12,}(?![0-9A-Za-z])")
 SPAN = re.compile(r"\S+")
+LONG = 200
+UNCASED = "\u0590-\u10ff\u1100-\u1cff\u2e80-\u2fff\u3040-\ua63f\ua960-\uabff\uac00-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00020000-\U0003ffff"
+DELIMITERS = "\"'`´“”‘’„«»‹›\\\\,;&?!/|<>{}\\[\\]*#$^~…、。「」『』【】《》〈〉（），：；！？"
+#: A piece is a secret with its name, an uncased word, any other word, or a sign that tells what follows; quotes and brackets fall out.
+PIECE = re.compile(
+    rf"\\(?:[bfnrt]|u[0-9a-fA-F]{{4}})|(?P<piece>(?<![\w-])(?i:password|passwd|pwd|secret|api_key|apikey|token|key)=[^{DELIMITERS}{UNCASED}=:()]+"
+    rf"|(?:(?!\d)[{UNCASED}])+|(?:\d|[^{DELIMITERS}{UNCASED}=:()]|\((?=\d)|(?<=\d)\))+|:(?!//)|[=,;])"
+)
 
 
 def core(token: str) -> tuple[int, int]:
@@ -46,6 +59,15 @@ def core(token: str) -> tuple[int, int]:
     return start, tail.start() if tail else len(token)
 
 
+def pieces(token: str) -> list[tuple[int, int]]:
+    """Where the chain's tokens begin and end in a white-space token: the whole, if it isn't long."""
+    if len(token) > LONG:
+        start, end = core(token)
+        if end - start > LONG:
+            return [m.span() for m in PIECE.finditer(token) if m["piece"]] or [(0, len(token))]
+    return [(0, len(token))]
+
+
 @functools.lru_cache(maxsize=200_000)
 def run(kind: str, n: int) -> str:
     return kind + (str(n) if n <= 4 else "5" if n < 8 else "8" if n < 12 else "12" if n < 15 else "15" if n < 20 else "20")
@@ -66,7 +88,7 @@ def signature(token: str) -> str:
     head, eq, _ = body.partition("=")
     word = head.lower() if eq and head.lower() in KEYWORDS else ""
     body = HEX.sub(lambda m: "\0" * len(m[0]) if not m[0].isdigit() else m[0], body)
-    flat = "".join("9" if c.isdigit() else "H" if c == "\0" else c if not c.isalnum() else "X" if c.isupper() else "x" for c in body[:200])
+    flat = "".join("9" if c.isdigit() else "H" if c == "\0" else c if not c.isalnum() else "X" if c.isupper() else "x" for c in body)
     return RUNS.sub(lambda m: run(m[0][0], len(m[0])), flat) + "|" + word + ("|" + body[:4] if body.isalnum() and body.isascii() and any(c.isupper() for c in body) and len(body) >= 16 else "")
 
 
@@ -105,7 +127,9 @@ class Model:
             if len(self.rows) > 50_000:
                 self.rows.clear()
             own = self.weights[[bucket("o", f) for f in features(sig)]].sum(0)
-            found = self.rows[sig] = np.stack([own, *(self.weights[[bucket(r, f) for f in context(sig)]].sum(0) for r in "nb")])
+            found = np.stack([own, *(self.weights[[bucket(r, f) for f in context(sig)]].sum(0) for r in "nb")])
+            if len(sig) <= LONG:
+                self.rows[sig] = found
         return found
 
     def emissions(self, sigs: list[str], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -221,26 +245,39 @@ def trained() -> Model:
 def tag_slice(model: Model, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, str]]]]:
     """(row, spans) of each text of a slice that holds PII; a span is (start, end, kind)."""
     w = tk.split_words(texts, lower=False)
-    sigs = [signature(x) for x in w.vocab.to_pylist()]
+    sigs: list[str] = []
+    count = np.ones(len(w.vocab), np.int64)
+    for i, x in enumerate(w.vocab.to_pylist()):
+        if len(x) <= LONG:
+            sigs.append(signature(x))
+        else:
+            cut = [signature(x[a:b]) for a, b in pieces(x)]
+            sigs += cut
+            count[i] = len(cut)
     known = {s: i for i, s in enumerate(dict.fromkeys(sigs))}
-    codes = np.array([known[s] for s in sigs], np.int32)[w.codes] if sigs else w.codes
-    tags = model.decode(model.emissions(list(known), codes, w.offsets), w.offsets) if len(codes) else np.zeros(0, np.int64)
+    codes, offsets = w.codes, w.offsets
+    if sigs:
+        n = count[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        codes = np.array([known[s] for s in sigs], np.int32)[np.repeat((np.cumsum(count) - count)[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[offsets]
+    tags = model.decode(model.emissions(list(known), codes, offsets), offsets) if len(codes) else np.zeros(0, np.int64)
     hit = np.flatnonzero(tags)
     out: list[tuple[int, list[tuple[int, int, str]]]] = []
-    for row in np.unique(np.searchsorted(w.offsets, hit, side="right") - 1):
-        lo, hi = w.offsets[row], w.offsets[row + 1]
+    for row in np.unique(np.searchsorted(offsets, hit, side="right") - 1):
+        lo = offsets[row]
         spans: list[tuple[int, int, str]] = []
         at = -2
-        for k, m in enumerate(SPAN.finditer(texts[int(row)].as_py())):
+        for k, (begin, token) in enumerate((m.start() + a, m[0][a:b]) for m in SPAN.finditer(texts[int(row)].as_py()) for a, b in pieces(m[0])):
             if not (tag := tags[lo + k]):
                 continue
-            a, b = core(m[0])
+            a, b = core(token)
             if a >= b:
                 continue
             if TAGS[tag].startswith("I-") and at == k - 1 and spans[-1][2] == KINDS[tag]:
-                spans[-1] = (spans[-1][0], m.start() + b, KINDS[tag])
+                spans[-1] = (spans[-1][0], begin + b, KINDS[tag])
             else:
-                spans.append((m.start() + a, m.start() + b, KINDS[tag]))
+                spans.append((begin + a, begin + b, KINDS[tag]))
             at = k
         if spans:
             out.append((int(row), spans))

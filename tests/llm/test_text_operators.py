@@ -430,6 +430,28 @@ def test_spans_and_masks(spark):
     assert rows[2].text == "nothing 2019 here at 3.5 or 12:30" and rows[3].text is None
 
 
+HEXA = "24be64439e3e49cf46b2d7c90f3602a3"
+FIELDS = ",".join(f'"item{i}":"value{i}"' for i in range(30))
+LONG_TOKENS = [
+    ("{" + FIELDS + f',"mail":"bob.7@site.example.com","phone":"203-555-8282","ip":"10.1.22.4","token":"{HEXA}"' + "}", [("bob.7@site.example.com", "EMAIL"), ("203-555-8282", "PHONE"), ("10.1.22.4", "IP"), (HEXA, "SECRET")]),
+    ("7,Ann;" * 60 + "bob.7@site.example.com,\\n203-555-8282", [("bob.7@site.example.com", "EMAIL"), ("203-555-8282", "PHONE")]),
+    ("https://www.example.org/" + "a1/" * 70 + f"?user=bob.7@site.example.com&ip=10.1.22.4&password={HEXA[:16]}", [("bob.7@site.example.com", "EMAIL"), ("10.1.22.4", "IP"), (f"password={HEXA[:16]}", "SECRET")]),
+    ("我的名字" * 60 + "邮箱是bob.7@site.example.com，电话203-555-8282。" + "谢谢" * 30, [("bob.7@site.example.com", "EMAIL"), ("203-555-8282", "PHONE")]),
+    ("first {" + FIELDS + ',"phone":"+1 (203) 555-8282","x":"' + "y" * 300 + '"} last', [("+1 (203) 555-8282", "PHONE")]),
+    ("x" * 250 + "@example.com", [("x" * 250 + "@example.com", "EMAIL")]),
+    (FIELDS + " " + "y" * 5000 + " " + '"' * 300, []),
+]
+
+
+@pytest.mark.parametrize("text,want", LONG_TOKENS)
+def test_pii_behind_the_200th_character_of_a_token(text, want):
+    model = pii.trained()
+    for t, n in ((text, 0), (f"one {text}\nten", 4)):
+        got = [(a, b, t[a:b], kind) for _, spans in pii.tag_slice(model, pa.array(["short", t])) for a, b, kind in spans]
+        assert [x[2:] for x in got] == want
+        assert all(a == n + text.index(x) and b == a + len(x) for a, b, x, _ in got)
+
+
 def test_pii_awkward(awkward, empty):
     assert pii.find(awkward).count() == 0 and pii.find(empty).count() == 0
     assert sorted(map(str, pii.mask(awkward).collect())) == sorted(map(str, awkward.collect()))
