@@ -15,8 +15,9 @@ logarithmic bins, counts per bin locate the bin in which the n-th lies, and only
 that bin is ranked. A hot source therefore spreads over all tasks.
 
 All sums are of integers (p in units of 2**-40), so the result does not depend on
-the order of addition. Defined results: null and empty texts, null sources and
-sources without a weight get no copy; a row with null doc_id gets none; rows
+the order of addition. Defined results: null and empty texts and null sources get
+no copy; a source that ``WEIGHTS`` doesn't name has weight ``OTHERS``, but where the
+caller gives weights, a source without one gets no copy; a row with null doc_id gets none; rows
 repeated with the same doc_id are copies of one document (the draw is shared).
 """
 
@@ -36,6 +37,8 @@ def target_weights(sources: list[str]) -> dict[str, float]:
 
 #: Production weights: the hot source is held to a twentieth, two curated ones are raised.
 WEIGHTS = {"src0": 1, **{f"src{i}": 1 for i in range(3, 20)}, "src1": 3, "src2": 2}
+#: Weight of each source that WEIGHTS doesn't name.
+OTHERS = 1
 #: Characters of the output for each character of the input.
 RATE = 0.5
 
@@ -47,14 +50,16 @@ def draw(doc_id: Column) -> Column:
 
 def allocate(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE) -> DataFrame:
     """Rows (doc_id, source, n_chars, certain, p_units, odds, copies) of the documents that can be drawn; copies may be 0."""
-    weights = WEIGHTS if weights is None else weights
+    others, weights = (OTHERS, WEIGHTS) if weights is None else (0, weights)
     spark = docs.sparkSession
     named = spark.createDataFrame(sorted((s, float(w)) for s, w in weights.items() if w > 0), "source string, weight double")
     x = F.length("text").cast("bigint")
     rows = docs.where("doc_id is not null and source is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", x.alias("n_chars")).distinct()
-    rows = rows.join(F.broadcast(named.select("source")), "source", "left_semi").withColumn("m", F.expr("1000 * n_chars div (n_chars + 500) + 1"))
+    if not others:
+        rows = rows.join(F.broadcast(named.select("source")), "source", "left_semi")
+    rows = rows.withColumn("m", F.expr("1000 * n_chars div (n_chars + 500) + 1"))
     totals = rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.sum(F.col("m") * F.col("n_chars")).alias("mx"))
-    totals = totals.join(F.broadcast(named), "source")
+    totals = totals.join(F.broadcast(named), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(float(others))))
     every = totals.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     targets = totals.crossJoin(F.broadcast(every)).select("source", (F.lit(float(rate)) * F.col("all_chars") * F.col("weight") / F.col("all_weight")).alias("target"), "mx")
     e = F.col("target") * F.col("m") / F.col("mx")

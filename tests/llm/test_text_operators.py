@@ -570,6 +570,16 @@ def test_mix_repeats_rows_and_keeps_columns(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0 and mixing.sample(awkward, {"nobody": 1.0}).count() == 0
 
 
+def test_sources_without_a_name_in_the_weights_stay(spark):
+    docs = frame(spark, [(i, "x" * 900, ("src0", "src1", "src20", "blog")[i % 4]) for i in range(400)])
+    copies = Counter()
+    for r in mixing.sample(docs).collect():
+        copies[r.source] += r.copies
+    assert set(copies) == {"src0", "src1", "src20", "blog"}
+    assert all(abs(n - 200 * (3 if s == "src1" else 1) / 6) < 2 for s, n in copies.items())
+    assert {r.source for r in mixing.mix(docs).collect()} == set(copies)
+
+
 def test_pareto_inclusion_is_near_its_target(spark):
     """Over many seeds each document is drawn about as often as its odds say."""
     p = np.array([0.1, 0.3, 0.5, 0.8, 0.9, 0.4])
