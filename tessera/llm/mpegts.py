@@ -1,6 +1,6 @@
 """MPEG transport streams in a binary column: demultiplex, check, reassemble, index.
 
-``demux`` turns each medium into one row per elementary stream: its program and
+``demux`` turns each medium into one row per program and elementary stream: its program and
 type from the program tables (PAT and PMT, sections reassembled over packets and
 CRC-checked), continuity-counter errors, the reassembled elementary bytes, the
 time stamps of its packets and its random-access points.
@@ -13,7 +13,9 @@ program table, give no row; leading bytes before the first sync byte and a torn
 last packet are skipped; packets with lost sync or the error flag are dropped
 and counted; a repeated packet (same counter and bytes) is legal once and
 dropped; an elementary packet that a counter gap or a wrong length touches is
-counted as broken and its bytes are kept out of ``data``; a stream without a
+counted as broken and its bytes are kept out of ``data``; a stream that programs
+share is a row of each; the clock is read on the pid that the program's table
+names, and on the stream's own where that has none; a stream without a
 time stamp has empty lists. Repeated rows give repeated results.
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -196,20 +198,32 @@ def demux_one(media: bytes) -> tuple[list[Stream], int]:
     full = (afc & 1 != 0) & (start < SIZE)
     rows_of = {int(p): np.flatnonzero(good & (pid == p)) for p in np.unique(pid[good]) if p != NULL_PID}
     dropped = int(n - good.sum())
-    pmts: dict[int, int] = {}
+    pmts: dict[int, list[int]] = {}
     for s in sections([int(i) for i in rows_of.get(0, ()) if full[i]], raw, start, begins):
         if s[0] == 0:
             for k in range(8, len(s) - 4, 4):
                 if number := int.from_bytes(s[k : k + 2], "big"):
-                    pmts[int.from_bytes(s[k + 2 : k + 4], "big") & 0x1FFF] = number
-    streams: dict[int, Stream] = {}
-    for pmt, number in sorted(pmts.items()):
+                    pmts.setdefault(int.from_bytes(s[k + 2 : k + 4], "big") & 0x1FFF, []).append(number)
+    kinds: dict[tuple[int, int], int] = {}
+    clock_of: dict[int, int] = {}
+    for pmt, numbers in sorted(pmts.items()):
         for s in sections([int(i) for i in rows_of.get(pmt, ()) if full[i]], raw, start, begins):
+            number = own if (own := int.from_bytes(s[3:5], "big")) in numbers else numbers[-1]
             k = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
+            if s[0] == 2:
+                clock_of[number] = int.from_bytes(s[8:10], "big") & 0x1FFF
             while s[0] == 2 and k + 5 <= len(s) - 4:
                 p = int.from_bytes(s[k + 1 : k + 3], "big") & 0x1FFF
-                streams[p] = Stream(number, p, s[k])
+                kinds[number, p] = s[k]
                 k += 5 + (int.from_bytes(s[k + 3 : k + 5], "big") & 0xFFF)
+
+    def clock(p: int) -> list[int]:
+        rows = rows_of.get(p, np.zeros(0, np.int64))
+        stamps = [int.from_bytes(raw[i * SIZE + 6 : i * SIZE + 12], "big") for i in rows[(flags[rows] & 0x10 != 0) & (alen[rows] >= 7)]]
+        return [(v >> 15) * 300 + (v & 0x1FF) for v in stamps]
+
+    clocks = {p: clock(p) for p in {*clock_of.values(), *(p for _, p in kinds)}}
+    streams = {p: Stream(0, p, 0) for _, p in kinds}
     for p, stream in streams.items():
         rows = rows_of.get(p, np.zeros(0, np.int64))
         stream.n_packets = len(rows)
@@ -224,10 +238,6 @@ def demux_one(media: bytes) -> tuple[list[Stream], int]:
             stream.errors = int(gap.sum())
         if not len(rows):
             continue
-        for i in rows[(flags[rows] & 0x10 != 0) & (alen[rows] >= 7)]:
-            b = raw[i * SIZE + 6 : i * SIZE + 12]
-            v = int.from_bytes(b, "big")
-            stream.pcr.append((v >> 15) * 300 + (v & 0x1FF))
         first = np.flatnonzero(begins[rows] & keep)
         lost = np.concatenate([[0], np.cumsum(gap)])
         if len(first) and first[0] or not len(first):
@@ -235,7 +245,7 @@ def demux_one(media: bytes) -> tuple[list[Stream], int]:
         for a, b in zip(first, [*first[1:], len(rows)]):
             unit = b"".join([raw[i * SIZE + start[i] : (i + 1) * SIZE] for i in rows[a:b][keep[a:b]]])
             add_pes(stream, unit, int(rows[a]), bool(flags[rows[a]] & 0x40), bool(lost[b] - lost[a + 1]) or (b < len(rows) and bool(gap[b])))
-    return [streams[p] for p in sorted(streams)], dropped
+    return [replace(streams[p], program=number, kind=kinds[number, p], pcr=clocks[clock_of[number]] or clocks[p]) for p, number in sorted((p, number) for number, p in kinds)], dropped
 
 
 def add_pes(stream: Stream, unit: bytes, packet: int, access: bool, hurt: bool) -> None:
@@ -267,7 +277,7 @@ def add_pes(stream: Stream, unit: bytes, packet: int, access: bool, hurt: bool)
 
 
 def demux(df: DataFrame, media: str = "media", key: str = "media_id") -> DataFrame:
-    """One row per elementary stream of every medium; see SCHEMA."""
+    """One row per program and elementary stream of every medium; see SCHEMA."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

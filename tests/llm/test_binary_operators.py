@@ -86,6 +86,20 @@ def test_table_over_several_packets():
     assert len(out) > 3 and [s.pid for s in mpegts.demux_one(b"".join(out))[0]] == [0x200 + k for k in range(90)]
 
 
+@pytest.mark.parametrize("pids", [(0x1000, 0x1001), (0x1000, 0x1000)])
+def test_two_programs_share_a_stream_and_a_clock_of_its_own(pids):
+    pat = b"".join(n.to_bytes(2, "big") + (0xE000 | p).to_bytes(2, "big") for n, p in zip((1, 2), pids))
+    table = lambda *own: b"\xe3\x00\xf0\x00" + b"".join(bytes([t]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for t, p in own)
+    out = mpegts.packets(0, b"\0" + mpegts.section(0, 1, pat), 0)
+    for k, (n, p, own) in enumerate(zip((1, 2), pids, ([(0x1B, 0x100), (6, 0x101)], [(6, 0x101)]))):
+        out += mpegts.packets(p, b"\0" + mpegts.section(2, n, table(*own)), k if pids[0] == pids[1] else 0)
+    out += mpegts.packets(0x300, b"-", 0, False, 900) + mpegts.packets(0x300, b"-", 1, False, 1800)
+    out += mpegts.packets(0x100, mpegts.pes(b"video", 3600, 1800), 0) + mpegts.packets(0x101, mpegts.pes(b"both", 900, stream_id=0xBD), 0)
+    streams, _ = mpegts.demux_one(b"".join(out))
+    assert [(s.program, s.pid, s.kind, b"".join(s.data)) for s in streams] == [(1, 0x100, 0x1B, b"video"), (1, 0x101, 6, b"both"), (2, 0x101, 6, b"both")]
+    assert all(s.pcr == [900 * 300, 1800 * 300] for s in streams)
+
+
 def test_demux_table(spark):
     rows = [(1, mpegts.mux(b"abc" * 999)), (2, None), (3, b""), (4, b"no stream at all" * 50), (1, mpegts.mux(b"abc" * 999)), (None, mpegts.mux(b"x"))]
     df = spark.createDataFrame([(i, bytearray(m) if m is not None else None, "c") for i, m in rows], "media_id bigint, media binary, program string")
