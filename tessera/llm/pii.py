@@ -7,10 +7,12 @@ two neighbours, so emissions are sums of three table rows. The model is trained
 by gradient ascent of the conditional likelihood on the labelled table of
 ``pii_table``; sentence ends count as tag O on both sides.
 
-A token whose core is longer than ``LONG`` (minified JSON or CSV, a URL, a script
-written without spaces) is no word: it is cut at delimiters and at changes between
-scripts with and without letter case, and its pieces are the tokens of the chain.
-Shapes are taken of whole pieces, however long.
+A token with delimiters inside its core (JSON or CSV without blanks, a URL, two
+addresses joined by a semicolon) or with ASCII beside a script without letter case
+(Chinese around an address) is no word: it is cut there, and its pieces are the
+tokens of the chain, so each can be a span of its own. Grouped digits (``1,200``)
+and fractions or dates with strokes (``2/3``) stay whole. Shapes are taken of whole
+pieces, however long.
 
 Decoding is exact. Where O beats every other tag of a token by more than twice
 the span of the transition weights, no best path leaves O there (replacing the
@@ -18,7 +20,9 @@ tag by O would gain), so the chain falls apart at such tokens and Viterbi runs
 over the remaining stretches only, all stretches of a slice at once.
 
 Defined results: null, empty and blank texts hold no PII; offsets are code points
-of the original text; a repeated row gives its spans again.
+of the original text; a repeated row gives its spans again; of paths of equal score
+the one with the tag that stands first in ``TAGS`` wins, at the last token where they
+differ.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ LEAD, TAIL = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
 RUNS = re.compile(r"(X+|x+|9+|H+)")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{12,}(?![0-9A-Za-z])")
 SPAN = re.compile(r"\S+")
-LONG = 200
+#: Longer shapes are computed anew instead of being kept by the worker.
+KEPT = 200
 UNCASED = "\u0590-\u10ff\u1100-\u1cff\u2e80-\u2fff\u3040-\ua63f\ua960-\uabff\uac00-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00020000-\U0003ffff"
 DELIMITERS = "\"'`´“”‘’„«»‹›\\\\,;&?!/|<>{}\\[\\]*#$^~…、。「」『』【】《》〈〉（），：；！？"
 #: A piece is a secret with its name, an uncased word, any other word, or a sign that tells what follows; quotes and brackets fall out.
@@ -49,6 +54,9 @@ PIECE = re.compile(
     rf"\\(?:[bfnrt]|u[0-9a-fA-F]{{4}})|(?P<piece>(?<![\w-])(?i:password|passwd|pwd|secret|api_key|apikey|token|key)=[^{DELIMITERS}{UNCASED}=:()]+"
     rf"|(?:(?!\d)[{UNCASED}])+|(?:\d|[^{DELIMITERS}{UNCASED}=:()]|\((?=\d)|(?<=\d)\))+|:(?!//)|[=,;])"
 )
+#: Where a token falls apart: a delimiter between other signs, or a change between ASCII and an uncased script.
+BORDER = re.compile(rf"[\"`“”„«»‹›\\,;&?/|<>{{}}\[\]、。「」『』【】《》〈〉（），：；！？]|[{UNCASED}][0-9A-Za-z+(]|[0-9A-Za-z)][{UNCASED}]")
+NUMBER = re.compile(r"\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:/\d+)+|\d+,\d+")
 
 
 def core(token: str) -> tuple[int, int]:
@@ -60,10 +68,10 @@ def core(token: str) -> tuple[int, int]:
 
 
 def pieces(token: str) -> list[tuple[int, int]]:
-    """Where the chain's tokens begin and end in a white-space token: the whole, if it isn't long."""
-    if len(token) > LONG:
+    """Where the chain's tokens begin and end in a white-space token: the whole, if nothing divides it."""
+    if not (token.isascii() and token.isalnum()) and BORDER.search(token):
         start, end = core(token)
-        if end - start > LONG:
+        if BORDER.search(token, start, end) and not NUMBER.fullmatch(token, start, end):
             return [m.span() for m in PIECE.finditer(token) if m["piece"]] or [(0, len(token))]
     return [(0, len(token))]
 
@@ -128,7 +136,7 @@ class Model:
                 self.rows.clear()
             own = self.weights[[bucket("o", f) for f in features(sig)]].sum(0)
             found = np.stack([own, *(self.weights[[bucket(r, f) for f in context(sig)]].sum(0) for r in "nb")])
-            if len(sig) <= LONG:
+            if len(sig) <= KEPT:
                 self.rows[sig] = found
         return found
 
@@ -248,12 +256,9 @@ def tag_slice(model: Model, texts: pa.Array) -> list[tuple[int, list[tuple[int,
     sigs: list[str] = []
     count = np.ones(len(w.vocab), np.int64)
     for i, x in enumerate(w.vocab.to_pylist()):
-        if len(x) <= LONG:
-            sigs.append(signature(x))
-        else:
-            cut = [signature(x[a:b]) for a, b in pieces(x)]
-            sigs += cut
-            count[i] = len(cut)
+        cut = [signature(x[a:b]) for a, b in pieces(x)]
+        sigs += cut
+        count[i] = len(cut)
     known = {s: i for i, s in enumerate(dict.fromkeys(sigs))}
     codes, offsets = w.codes, w.offsets
     if sigs:

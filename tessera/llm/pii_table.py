@@ -36,7 +36,7 @@ def example(g: random.Random) -> list[tuple[str, str]]:
     """Tokens with tags of one piece of personal data."""
     kind = g.randrange(11)
     if kind < 2:
-        user = g.choice((name(g), f"{name(g)}.{digits(g, 2)}", f"{name(g)}_{name(g)}", f"{name(g)}{digits(g, 3)}", f"{name(g).title()}.{name(g).title()}"))
+        user = g.choice((name(g), f"{name(g)}.{digits(g, 2)}", f"{name(g)}_{name(g)}", f"{name(g)}.{name(g)}", f"{name(g)}{digits(g, 3)}", f"{name(g).title()}.{name(g).title()}"))
         return [(f"{user}@{name(g)}{g.choice(('', digits(g, 1)))}.{g.choice(('com', 'org', 'de', 'example.com', 'co.uk'))}", "EMAIL")]
     if kind == 2:
         return [(".".join(str(g.randint(0 if k else 1, 255)) for k in range(4)), "IP")]

@@ -452,6 +452,25 @@ def test_pii_behind_the_200th_character_of_a_token(text, want):
         assert all(a == n + text.index(x) and b == a + len(x) for a, b, x, _ in got)
 
 
+JOINED = [
+    ("write a.b@c.com;d@e.org now", [("a.b@c.com", "EMAIL"), ("d@e.org", "EMAIL")], "write [EMAIL];[EMAIL] now"),
+    ("...,foo.bar@example.com,123-45-6789", [("foo.bar@example.com", "EMAIL"), ("123-45-6789", "SSN")], "...,[EMAIL],[SSN]"),
+    ("请联系foo.bar@example.com谢谢大家", [("foo.bar@example.com", "EMAIL")], "请联系[EMAIL]谢谢大家"),
+    ('{"email":"a@b.com","ip":"10.2.3.4"}', [("a@b.com", "EMAIL"), ("10.2.3.4", "IP")], '{"email":"[EMAIL]","ip":"[IP]"}'),
+    ("x" * 250 + "@example.com,10.0.0.1,10.0.0.2", [("x" * 250 + "@example.com", "EMAIL"), ("10.0.0.1", "IP"), ("10.0.0.2", "IP")], "[EMAIL],[IP],[IP]"),
+    ("we paid 1,200 or 20,000.50 on 2/3 and 2001/02, don't ask; see http://www.example.org/a1", [], None),
+]
+
+
+def test_several_spans_of_one_token(spark):
+    docs = frame(spark, [(i, t, "s") for i, (t, _, _) in enumerate(JOINED)])
+    found = {i: [] for i in range(len(JOINED))}
+    for r in pii.find(docs).orderBy("doc_id", "start").collect():
+        found[r.doc_id].append((JOINED[r.doc_id][0][r.start : r.end], r.kind))
+    assert list(found.values()) == [want for _, want, _ in JOINED]
+    assert {r.doc_id: r.text for r in pii.mask(docs).collect()} == {i: t if m is None else m for i, (t, _, m) in enumerate(JOINED)}
+
+
 def test_pii_awkward(awkward, empty):
     assert pii.find(awkward).count() == 0 and pii.find(empty).count() == 0
     assert sorted(map(str, pii.mask(awkward).collect())) == sorted(map(str, awkward.collect()))
