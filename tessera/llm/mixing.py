@@ -10,9 +10,15 @@ certain. The remainder p = e - floor(e) is sampled: documents of s are ranked by
 ``round(sum p)`` least ranked get one copy more (Rosen's Pareto sampling: fixed
 size, inclusion close to p).
 
-Selecting the n least of a source does not sort it: odds fall into ``BINS``
-logarithmic bins, counts per bin locate the bin in which the n-th lies, and only
-that bin is ranked. A hot source therefore spreads over all tasks.
+Selecting the n least of a source does not sort it: odds fall into ``2 * BINS + 1``
+logarithmic bins, counts per bin locate the bin in which the n-th lies, that bin falls
+into ``FINE`` equal parts, whose counts locate the part, and only that part is ranked.
+A bin near the median holds some 4 % of a source and a part of it 1 row in 100 000, so
+a hot source spreads over all tasks.
+
+What is joined to the documents is one row for each source. It is broadcast where the
+sources are counted and no more than ``FEW`` (some 10 MB); beyond, the join is left to
+the engine, which splits hot sources.
 
 All sums are of integers (p in units of 2**-40), so the result does not depend on
 the order of addition. Defined results: null and empty texts and null sources get
@@ -27,12 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCALE, BINS, SEED = 1 << 40, 64, "mix-1"
-
+from tessera.llm.shared import Scratch
 
-def target_weights(sources: list[str]) -> dict[str, float]:
-    """Equal shares, for callers without wishes of their own."""
-    return dict.fromkeys(sources, 1.0)
+SCALE, BINS, FINE, FEW, SEED = 1 << 40, 64, 4096, 100_000, "mix-1"
 
 
 #: Production weights: the hot source is held to a twentieth, two curated ones are raised.
@@ -48,46 +51,61 @@ def draw(doc_id: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.lit(":"), doc_id.cast("string"))), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table of one row for each source, broadcast where it has at most ``FEW`` rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def allocate(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE) -> DataFrame:
-    """Rows (doc_id, source, n_chars, certain, p_units, odds, copies) of the documents that can be drawn; copies may be 0."""
+    """Rows (doc_id, source, n_chars, certain, p_units, odds) of the documents that can be drawn, from the shared folder."""
     others, weights = (OTHERS, WEIGHTS) if weights is None else (0, weights)
     spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     named = spark.createDataFrame(sorted((s, float(w)) for s, w in weights.items() if w > 0), "source string, weight double")
     x = F.length("text").cast("bigint")
     rows = docs.where("doc_id is not null and source is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", x.alias("n_chars")).distinct()
     if not others:
-        rows = rows.join(F.broadcast(named.select("source")), "source", "left_semi")
-    rows = rows.withColumn("m", F.expr("1000 * n_chars div (n_chars + 500) + 1"))
+        rows = rows.join(named.select("source"), "source", "left_semi")
+    rows = scratch.write(rows, "rows").withColumn("m", F.expr("1000 * n_chars div (n_chars + 500) + 1"))
     totals = rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.sum(F.col("m") * F.col("n_chars")).alias("mx"))
-    totals = totals.join(F.broadcast(named), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(float(others))))
+    totals = scratch.write(totals.join(named, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(float(others)))), "totals")
     every = totals.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     targets = totals.crossJoin(F.broadcast(every)).select("source", (F.lit(float(rate)) * F.col("all_chars") * F.col("weight") / F.col("all_weight")).alias("target"), "mx")
     e = F.col("target") * F.col("m") / F.col("mx")
     p = F.floor((F.col("e") - F.floor("e")) * F.lit(float(SCALE))).cast("bigint")
     u, q = draw(F.col("doc_id")), F.col("p_units") / F.lit(float(SCALE))
     odds = (F.col("u") / (1 - F.col("u"))) / (q / (1 - q))
-    rows = rows.join(F.broadcast(targets), "source").withColumn("e", e).withColumn("certain", F.floor("e").cast("bigint")).withColumn("p_units", p).withColumn("u", u)
-    return rows.select("doc_id", "source", "n_chars", "certain", "p_units", F.when(F.col("p_units") > 0, odds).alias("odds"))
+    rows = rows.join(small(targets), "source").withColumn("e", e).withColumn("certain", F.floor("e").cast("bigint")).withColumn("p_units", p).withColumn("u", u)
+    return scratch.write(rows.select("doc_id", "source", "n_chars", "certain", "p_units", F.when(F.col("p_units") > 0, odds).alias("odds")), "odds")
+
+
+def cut_of(counts: DataFrame, need: Column, order: str) -> DataFrame:
+    """(source, cut, left): the ``order`` value at which the source's running sum of ``n`` reaches its need, and how many of its rows are needed."""
+    by = Window.partitionBy("source")
+    upto = F.sum("n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("need", need).withColumn("before", upto - F.col("n"))
+    return c.where((F.col("before") < F.col("need")) & (F.col("need") <= F.col("before") + F.col("n"))).select("source", F.col(order).alias("cut"), (F.col("need") - F.col("before")).alias("left"))
 
 
 def sample(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE) -> DataFrame:
     """Rows (doc_id, source, n_chars, copies) of the drawn documents."""
-    rows = allocate(docs, weights, rate)
-    # bins are monotone in the odds: powers of two, cut off at both ends
-    slot = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.log2("odds") * 4))).cast("int")
-    rows = rows.withColumn("slot", F.when(F.col("odds").isNotNull(), slot))
-    size = rows.groupBy("source", "slot").agg(F.count("odds").alias("n"), F.sum("p_units").alias("units"))
-    by = Window.partitionBy("source")
-    need = F.floor((F.sum("units").over(by) + F.lit(SCALE // 2)) / F.lit(float(SCALE))).cast("bigint")
-    upto = F.sum("n").over(by.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    size = size.where("slot is not null").select("source", "slot", (need - (upto - F.col("n"))).alias("left"), "n")
-    edge = rows.join(F.broadcast(size.where("left > 0 and left < n").select("source", "slot", "left")), ["source", "slot"])
-    nth = F.row_number().over(Window.partitionBy("source", "slot").orderBy("odds", "doc_id"))
-    won = edge.withColumn("nth", nth).where("nth <= left").select("doc_id", "source", F.lit(1).alias("won"))
-    whole = size.where("left >= n").select("source", "slot", F.lit(1).alias("whole"))
-    out = rows.join(F.broadcast(whole), ["source", "slot"], "left").join(won, ["doc_id", "source"], "left")
-    copies = F.col("certain") + F.coalesce("whole", "won", F.lit(0))
-    return out.select("doc_id", "source", "n_chars", copies.cast("bigint").alias("copies")).where("copies > 0")
+    # bins are monotone in the odds: quarters of powers of two, cut off at both ends; so are the parts of a bin
+    quarter = F.log2("odds") * 4
+    rows = allocate(docs, weights, rate).withColumn("slot", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(quarter))).cast("int"))
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(FINE - 1), F.floor((quarter - F.col("slot")) * FINE))).cast("int"))
+    counts = rows.groupBy("source", "slot").agg(F.count("odds").alias("n"), F.sum("p_units").alias("units"))
+    need = F.floor((F.sum("units").over(Window.partitionBy("source")) + F.lit(SCALE // 2)) / F.lit(float(SCALE))).cast("bigint")
+    slots = small(cut_of(counts.where("slot is not null"), need, "slot").withColumnsRenamed({"cut": "cut_slot", "left": "left_slot"}))
+    rows = rows.join(slots, "source", "left")
+    edge = rows.where("slot = cut_slot")
+    parts = small(cut_of(edge.groupBy("source", "part").agg(F.count("*").alias("n"), F.first("left_slot").alias("goal")), F.col("goal"), "part").withColumnsRenamed({"cut": "cut_part", "left": "left_part"}))
+    here = (F.col("slot") == F.col("cut_slot")) & (F.col("part") == F.col("cut_part"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("odds", "doc_id"))
+    ranked = edge.join(parts, "source").where("part = cut_part").withColumn("won", (nth <= F.col("left_part")).cast("int"))
+    sure = (F.col("slot") < F.col("cut_slot")) | ((F.col("slot") == F.col("cut_slot")) & (F.col("part") < F.col("cut_part")))
+    rest = rows.join(parts, "source", "left").where(~F.coalesce(here, F.lit(False))).withColumn("won", F.coalesce(sure, F.lit(False)).cast("int"))
+    cols = ["doc_id", "source", "n_chars", (F.col("certain") + F.col("won")).cast("bigint").alias("copies")]
+    return rest.select(*cols).unionByName(ranked.select(*cols)).where("copies > 0")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE) -> DataFrame:

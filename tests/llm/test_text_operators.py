@@ -589,6 +589,15 @@ def test_mix_repeats_rows_and_keeps_columns(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0 and mixing.sample(awkward, {"nobody": 1.0}).count() == 0
 
 
+def test_parts_and_joins_do_not_change_the_sample(spark, monkeypatch):
+    rows, weights = sized(5), {"a": 1.0, "b": 3.0, "c": 8.0}
+    want = sorted(map(str, mixing.sample(frame(spark, rows), weights, 0.7).collect()))
+    for fine, few in ((1, 0), (3, 1), (100_000, 3)):
+        monkeypatch.setattr(mixing, "FINE", fine)
+        monkeypatch.setattr(mixing, "FEW", few)
+        assert sorted(map(str, mixing.sample(frame(spark, rows), weights, 0.7).collect())) == want
+
+
 def test_sources_without_a_name_in_the_weights_stay(spark):
     docs = frame(spark, [(i, "x" * 900, ("src0", "src1", "src20", "blog")[i % 4]) for i in range(400)])
     copies = Counter()
