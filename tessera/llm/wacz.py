@@ -1,8 +1,10 @@
 """ZIP-packaged web archives (WACZ): directory parsing, index rows, range reads.
 
 A WACZ file is a ZIP whose ``archive/*.warc.gz`` members are stored without
-compression and hold one gzip member per WARC record, and whose ``indexes/*.cdx``
-(or ``.cdx.gz``) members list every record's offset and length. Nothing is
+compression and hold one gzip member per WARC record (``.warc`` members hold the
+records as they are), and whose ``indexes/*.cdx`` (or ``.cdx.gz``) members list every
+record's offset and length, as JSON behind the key or in the classic columns that a
+`` CDX `` line names. Nothing is
 extracted: the end record and central directory (ZIP64 included) are read from
 the file's tail, index members by their range, and records by ranges of the ZIP
 itself, neighbouring ones in one read.
@@ -11,11 +13,16 @@ Work is spread by (archive, block of ``BLOCK`` bytes), so one large archive is
 read by many tasks. Files are reached with ``pyarrow.fs`` by address, so any
 executor that sees the shared folder can read or reread them.
 
-Defined results: an archive without an index gives no rows; an index row that
-points outside its member, a record that is no gzip or no WARC, and a payload
-whose digest differs give a row with ``ok`` false (and null fields where nothing
-could be read); a file that is no ZIP raises; empty archives give no rows; null
-urls and payloads are written as empty ones.
+Defined results: an archive without an index gives no rows; an index line that
+can't be read (broken JSON, no offset, length or file name) and an index member that
+can't be unpacked give a row with ``ok`` false and the fields that could be read, and so
+does a file that is no ZIP (one row, all else null); a status that is no number is
+null; a file name is looked up by its path under ``archive/``, then by its last part
+where only one member has that; an index row whose member isn't there or that points
+outside it, a record that is no gzip or no WARC, and a payload whose digest differs give
+a row with ``ok`` false (and null fields where nothing could be read); blank lines and
+header lines are skipped; empty archives give no rows; null urls and payloads are
+written as empty ones; repeated pages are repeated records.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ from tessera.llm import textkit as tk
 from tessera.llm.shared import Scratch
 
 BLOCK, ARCHIVE_BYTES = 8 << 20, 24 << 20
+#: Columns of the classic index by their letters.
+CLASSIC = {"a": "url", "m": "mime", "s": "status", "k": "digest", "S": "length", "V": "offset", "g": "filename"}
 INDEX = "archive string, url string, mime string, status int, digest string, member_offset bigint, member_size bigint, offset bigint, length bigint"
 RECORDS = "record_id string, url string, date string, status int, mime string, n_bytes bigint, payload binary, ok boolean"
 
@@ -119,32 +128,83 @@ def content(f, m: Member) -> bytes:
     return zlib.decompress(raw, -15) if m.method == 8 else raw
 
 
+def entry_of(line: str, columns: list[str] | None) -> dict:
+    """The fields of one index line; an empty dict where it can't be read."""
+    if columns and not line.rstrip().endswith("}"):
+        cells = line.split()
+        if len(cells) != len(columns):
+            return {}
+        return {CLASSIC[c]: x for c, x in zip(columns, cells) if c in CLASSIC and x != "-"}
+    at = line.find("{")
+    try:
+        found = json.loads(line[at:]) if at >= 0 else None
+    except (json.JSONDecodeError, RecursionError):
+        found = None
+    return found if isinstance(found, dict) else {}
+
+
+def whole(value, most: int = (1 << 63) - 1) -> int | None:
+    """A count from 0 to ``most`` given as a number or its digits; else None."""
+    text = str(value) if isinstance(value, (int, str)) and not isinstance(value, bool) else ""
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 20 and int(text) <= most else None
+
+
+def place_of(name, stored: dict[str, tuple[int, int]], by_last: dict[str, list[str]]) -> tuple[int, int]:
+    """Offset and size of the member that an index line names; size -1 where there is none."""
+    path = name.removeprefix("archive/") if isinstance(name, str) else ""
+    same = by_last.get(path.rsplit("/", 1)[-1], [])
+    return stored.get(path) or (stored[same[0]] if len(same) == 1 else (0, -1))
+
+
+def text_of(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 def index_rows(address: str) -> list[tuple]:
-    """Rows of INDEX for one archive."""
+    """Rows of INDEX for one archive; ``member_size`` is null for what could not be read."""
     fs, path = locate(address)
+    lost = (address, *[None] * 8)
     with fs.open_input_file(path) as f:
-        members = directory(f, f.size())
-        stored = {m.name.rsplit("/", 1)[-1]: (data_offset(f, m), m.packed) for m in members if m.name.startswith("archive/") and m.method == 0}
+        try:
+            members = directory(f, f.size())
+        except (ValueError, struct.error, OSError):
+            return [lost]
+        stored: dict[str, tuple[int, int]] = {}
+        by_last: dict[str, list[str]] = {}
+        for m in members:
+            if m.name.startswith("archive/") and m.method == 0:
+                try:
+                    stored[m.name.removeprefix("archive/")] = (data_offset(f, m), m.packed)
+                except (ValueError, struct.error):
+                    continue
+                by_last.setdefault(m.name.rsplit("/", 1)[-1], []).append(m.name.removeprefix("archive/"))
         rows = []
         for m in members:
             if not m.name.startswith("indexes/") or not m.name.endswith((".cdx", ".cdxj", ".cdx.gz")):
                 continue
-            text = content(f, m)
-            if m.name.endswith(".gz"):
-                text = gzip.decompress(text)
-            for line in text.decode("utf-8").splitlines():
-                if "{" not in line:
-                    continue
-                e = json.loads(line[line.index("{") :])
-                at, size = stored.get(e["filename"].rsplit("/", 1)[-1], (0, -1))
-                rows.append((address, e["url"], e.get("mime"), int(e["status"]), e.get("digest"), at, size, int(e["offset"]), int(e["length"])))
+            try:
+                text = content(f, m)
+                text = gzip.decompress(text) if m.name.endswith(".gz") else text
+            except (OSError, EOFError, ValueError, struct.error, zlib.error):
+                rows.append(lost)
+                continue
+            columns = None
+            for line in text.decode("utf-8", "replace").split("\n"):
+                if line.lstrip().startswith("CDX ") and "{" not in line:
+                    columns = line.split()[1:]
+                elif line.strip() and not line.startswith("!"):
+                    e = entry_of(line, columns)
+                    offset, length = whole(e.get("offset")), whole(e.get("length"))
+                    at, size = place_of(e.get("filename"), stored, by_last)
+                    readable = offset is not None and length is not None and isinstance(e.get("filename"), str)
+                    rows.append((address, text_of(e.get("url")), text_of(e.get("mime")), whole(e.get("status"), 999), text_of(e.get("digest")), at, size if readable else None, offset, length))
         return rows
 
 
 def parse_record(raw: bytes, digest: str | None) -> tuple:
     """(record id, date, payload, ok) of one gzip member holding a WARC record."""
     try:
-        data = gzip.decompress(raw)
+        data = raw if raw.startswith(b"WARC/") else gzip.decompress(raw)
         head, body = data.split(b"\r\n\r\n", 1)
         if not head.startswith(b"WARC/"):
             return None, None, None, False
@@ -153,7 +213,7 @@ def parse_record(raw: bytes, digest: str | None) -> tuple:
         payload = block.split(b"\r\n\r\n", 1)[1] if fields.get("WARC-Type") == "response" else block
     except (OSError, EOFError, zlib.error, ValueError, KeyError, IndexError):
         return None, None, None, False
-    return fields.get("WARC-Record-ID"), fields.get("WARC-Date"), payload, digest is None or digest == sha1(payload)
+    return fields.get("WARC-Record-ID"), fields.get("WARC-Date"), payload, digest is None or digest.removeprefix("sha1:") == sha1(payload).removeprefix("sha1:")
 
 
 def sha1(data: bytes) -> str:
@@ -177,6 +237,11 @@ def read_index(archives: DataFrame) -> DataFrame:
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
+def inside(row: dict) -> bool:
+    """Whether an index row was read and points into its member."""
+    return row["member_size"] is not None and row["offset"] + row["length"] <= row["member_size"]
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """The records of index rows, read by range."""
 
@@ -187,19 +252,19 @@ def read_records(index: DataFrame) -> DataFrame:
             rows = batch.to_pylist()
             out, held = [], 0
             for i, r in enumerate(rows):
+                if not inside(r):
+                    out.append((None, r["url"], None, r["status"], r["mime"], None, None, False))
+                    continue
                 if opened is None or opened[0] != r["archive"]:
                     if opened:
                         opened[1].close()
                     fs, path = locate(r["archive"])
                     opened, block = (r["archive"], fs.open_input_file(path)), b""
                 at = r["member_offset"] + r["offset"]
-                if r["member_size"] < r["offset"] + r["length"]:
-                    out.append((None, r["url"], None, r["status"], r["mime"], None, None, False))
-                    continue
                 if not base <= at or at + r["length"] > base + len(block):
                     end = at + r["length"]
                     for s in rows[i + 1 :]:  # neighbours in the same block are read along
-                        if s["archive"] != r["archive"] or s["member_offset"] + s["offset"] != end or end - at > 1 << 20 or s["member_size"] < s["offset"] + s["length"]:
+                        if s["archive"] != r["archive"] or not inside(s) or s["member_offset"] + s["offset"] != end or end - at > 1 << 20:
                             break
                         end += s["length"]
                     block, base = opened[1].read_at(end - at, at), at
@@ -213,7 +278,7 @@ def read_records(index: DataFrame) -> DataFrame:
         if opened:
             opened[1].close()
 
-    spread = index.repartition("archive", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("archive", "member_offset", "offset")
+    spread = index.repartition("archive", F.floor((F.col("member_offset") + F.col("offset")) / BLOCK)).sortWithinPartitions("archive", "member_offset", "offset")
     return spread.mapInArrow(run, RECORDS)
 
 

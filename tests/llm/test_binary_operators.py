@@ -50,6 +50,119 @@ def slow_counters(media):
     return errors
 
 
+def slow_demux(media):
+    """Streams of a medium, read packet by packet with a state for each pid."""
+    begin = max(range(188), key=lambda k: (sum(media[i] == 0x47 for i in range(k, min(len(media), k + 20 * 188), 188)) / max(1, len(range(k, min(len(media), k + 20 * 188), 188))), -k))
+    tables, maps, clocks, state, dropped = {}, {}, {}, {}, 0
+    for at in range(begin, len(media) - 187, 188):
+        p = media[at : at + 188]
+        if p[0] != 0x47 or p[1] & 0x80:
+            dropped += 1
+            continue
+        pid, new, control, counter = (p[1] & 0x1F) * 256 + p[2], p[1] & 0x40, p[3] // 16 % 4, p[3] % 16
+        if pid == 0x1FFF:
+            continue
+        flags, body = 0, p[4:]
+        if control in (2, 3):
+            flags = p[5] if p[4] else 0
+            if p[4] >= 7 and flags & 0x10:
+                clocks.setdefault(pid, []).append(int(f"{int.from_bytes(p[6:12], 'big'):048b}"[:33], 2) * 300 + int(f"{int.from_bytes(p[6:12], 'big'):048b}"[39:], 2))
+            body = p[5 + p[4] :]
+        if control in (0, 2):
+            body = b""
+        s = state.setdefault(pid, {"last": None, "errors": 0, "packets": 0, "units": [], "head": False, "section": None, "seen": -1})
+        s["packets"] += 1
+        hurt = False
+        if s["last"] is not None:
+            if body and s["last"][1] == p:
+                continue
+            wanted = (s["last"][0] + (1 if body else 0)) % 16
+            hurt = counter != wanted and not flags & 0x80
+        s["errors"] += hurt
+        if hurt and s["units"]:
+            s["units"][-1][3] = True
+        s["last"] = (counter, p)
+        if new and body:
+            s["units"].append([b"", bool(flags & 0x40), (at - begin) // 188, False])
+        if s["units"]:
+            s["units"][-1][0] += body
+        elif body:
+            s["head"] = True
+        # tables: sections of pid 0 and of the pids that it names
+        if new and body:
+            whole = body[1 + body[0] :]
+        elif s["section"] is not None:
+            whole = s["section"] + body
+        else:
+            whole = None
+        s["section"] = whole
+        if whole is not None and len(whole) >= 3 and whole[0] in (0, 2):
+            size = 3 + (whole[1] % 16) * 256 + whole[2]
+            if len(whole) >= size and mpegts.crc(bytes(whole[:size])) == 0:
+                tables.setdefault(pid, []).append(whole[:size])
+    for t in tables.get(0, []):
+        for k in range(8, len(t) - 4, 4):
+            number, pmt = t[k] * 256 + t[k + 1], (t[k + 2] % 32) * 256 + t[k + 3]
+            for q in tables.get(pmt, []) if number else []:
+                if q[0] == 2 and q[3] * 256 + q[4] == number:
+                    k2 = 12 + (q[10] % 16) * 256 + q[11]
+                    while k2 < len(q) - 4:
+                        pid = (q[k2 + 1] % 32) * 256 + q[k2 + 2]
+                        maps[pid, number] = (q[k2], (q[8] % 32) * 256 + q[9])
+                        k2 += 5 + (q[k2 + 3] % 16) * 256 + q[k2 + 4]
+    out = []
+    for (pid, number), (kind, clock) in sorted(maps.items()):
+        s = state.get(pid, {"errors": 0, "packets": 0, "units": [], "head": False})
+        pts, dts, access, data, broken = [], [], [], [], int(s["head"])
+        for unit, key, packet, hurt in s["units"]:
+            if len(unit) < 9 or unit[:3] != b"\0\0\1":
+                broken += 1
+                continue
+            bits = "".join(f"{b:08b}" for b in unit[9:19])
+            mark = lambda o: int(bits[o + 4 : o + 7] + bits[o + 8 : o + 23] + bits[o + 24 : o + 39], 2)
+            if unit[7] & 0x80:
+                pts.append(mark(0))
+                dts.append(mark(40) if unit[7] & 0x40 else mark(0))
+            if key:
+                access.append((packet, pts[-1] if unit[7] & 0x80 else None))
+            size = unit[4] * 256 + unit[5]
+            if hurt or size and len(unit) < 6 + size:
+                broken += 1
+            else:
+                data.append(unit[9 + unit[8] : 6 + size if size else None])
+        pcr = clocks.get(clock) or clocks.get(pid, [])
+        out.append((number, pid, kind, s["packets"], s["errors"], len(s["units"]), broken, pts, dts, access, pcr, data))
+    return out, dropped
+
+
+def spoilt_media():
+    """Media with lost, doubled, damaged and foreign packets, and two programs."""
+    g = random.Random(11)
+    for k in range(60):
+        media = mpegts.mux(payload(k, g.randrange(0, 60_000)), payload(k + 1, g.choice((0, 9, 3000))), g.choice((180, 1400, 5000, 70_000)), g.choice((1, 3, 8)))
+        parts = [media[i : i + 188] for i in range(0, len(media), 188)]
+        for _ in range(g.choice((0, 0, 1, 4))):
+            i, what = g.randrange(2, len(parts) + 1), g.randrange(5)
+            if what == 0 and i < len(parts):
+                del parts[i]
+            elif what == 1 and i < len(parts):
+                parts.insert(i, parts[i])
+            elif what == 2 and i < len(parts):
+                parts[i] = bytes([0x46]) + parts[i][1:]
+            elif what == 3:
+                parts.insert(i, bytes([0x47, 0x1F, 0xFF, 0x10]) + bytes(184))
+            elif i < len(parts):
+                parts[i] = parts[i][:1] + bytes([parts[i][1] | 0x80]) + parts[i][2:]
+        yield g.choice((b"", b"torn start")) + b"".join(parts) + g.choice((b"", b"\x47torn"))
+
+
+def test_demux_against_one_packet_at_a_time():
+    for media in spoilt_media():
+        streams, dropped = mpegts.demux_one(media)
+        got = [(s.program, s.pid, s.kind, s.n_packets, s.errors, s.n_pes, s.broken, s.pts, s.dts, s.access, s.pcr, s.data) for s in streams]
+        assert (got, dropped) == slow_demux(media)
+
+
 @pytest.mark.parametrize("lose", range(2, 40, 3))
 def test_a_lost_packet_is_found(lose):
     data = payload(5, 20_000)
@@ -192,6 +305,42 @@ def test_damage_is_marked(spark, tmp_path):
     assert {r.ok for r in wacz.read_records(far).collect()} == {False}
 
 
+def record(name, text, gz=True):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + text
+    raw = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{name}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return gzip.compress(raw, mtime=0) if gz else raw
+
+
+def test_damaged_index_lines_classic_lines_and_plain_members(spark, tmp_path):
+    one, two, three = record(1, b"one"), record(2, b"two", gz=False), record(3, b"three")
+    at = lambda raw, **more: __import__("json").dumps({"url": "u", "offset": 0, "length": len(raw)} | more)
+    lines = [
+        "k 1 " + at(one, filename="a/data.warc.gz", status="-", url="good one"),
+        "k 1 " + at(two, filename="archive/data.warc", status="200", url="good two"),
+        "k 1 " + at(three, filename="b/data.warc.gz", url="good three"),
+        "k 1 " + at(one, filename="data.warc.gz", url="two members have this name"),
+        "k 1 " + at(one, filename="none.warc.gz", url="no such member"),
+        "k 1 " + at(one, filename="a/data.warc.gz", offset="-", url="no offset"),
+        "k 1 " + at(one, filename=7, url="no file name"),
+        "k 1 " + at(one, filename="a/data.warc.gz", length=10**30, url="no length"),
+        "k 1 {broken", "no object at all", "[1]", "!meta {}", "",
+    ]
+    classic = f" CDX N b a m s k r M S V g\nkey 2024 http://classic text/html 404 - - - {len(three)} 0 b/data.warc.gz\nkey 2024 too few cells\n"
+    path = tmp_path / "x.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in (("archive/a/data.warc.gz", one), ("archive/data.warc", two), ("archive/b/data.warc.gz", three), ("indexes/a.cdxj", "\n".join(lines)), ("indexes/b.cdx", classic), ("indexes/c.cdx.gz", b"no gzip")):
+            z.writestr(zipfile.ZipInfo(name), data)
+    (tmp_path / "no.wacz").write_bytes(b"no archive")
+    (tmp_path / "empty.wacz").write_bytes(b"PK\5\6" + bytes(18))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}.wacz",) for n in ("x", "no", "empty")], "archive string")
+    rows = wacz.read_records(wacz.read_index(files)).collect()
+    good = sorted((r.url, r.status, bytes(r.payload)) for r in rows if r.ok)
+    assert good == sorted([("good one", None, b"one"), ("good two", 200, b"two"), ("good three", None, b"three"), ("http://classic", 404, b"three")], key=str)
+    bad = [r.url for r in rows if not r.ok]
+    assert sorted(u for u in bad if u) == sorted(["two members have this name", "no such member", "no offset", "no file name", "no length"])
+    assert len(bad) == 5 + 3 + 1 + 1 + 1 and all(r.payload is None for r in rows if not r.ok)
+
+
 def test_archive_is_readable_by_others(tmp_path):
     path = tmp_path / "o.wacz"
     wacz.write_archive(f"file://{path}", [(7, "http://a", "text")], "x")
