@@ -20,19 +20,23 @@ Decoding. The streaming decoder takes tokens in any portions and returns the tex
 that is complete, keeping at most three bytes of an unfinished character, with a
 UTF-8 automaton (malformed bytes become U+FFFD as the standard recommends).
 
-Defined results: null and empty texts give no tokens and round_trip true.
+Defined results: null and empty texts give no tokens and round_trip true; ids may be
+null or repeated, and each row is encoded by itself, so a repeated row gives its tokens
+again; a very long piece is one run of the transducer, with no cut.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.llm import textkit as tk
@@ -287,9 +291,16 @@ class Decoder:
 MACHINES: dict[str, tuple[Encoder, Decoder]] = {}
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary file to all executors, which may not have it at that place; returns its path."""
+    if os.path.isfile(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 def machines(path: str) -> tuple[Encoder, Decoder]:
     if path not in MACHINES:
-        ranks = read_ranks(path)
+        ranks = read_ranks(path if os.path.isfile(path) else SparkFiles.get(os.path.basename(path)))
         MACHINES[path] = Encoder(ranks), Decoder(ranks)
     return MACHINES[path]
 
@@ -297,7 +308,7 @@ def machines(path: str) -> tuple[Encoder, Decoder]:
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` without ``text``, with ``tokens``, ``n_tokens`` and ``round_trip`` (the decoded tokens equal the text); columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in ("text", "tokens", "n_tokens", "round_trip")]
-    source = docs.select(*kept, "text")
+    source, vocabulary = docs.select(*kept, "text"), shipped(docs.sparkSession, vocabulary)
     schema = docs.select(*kept).schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -321,7 +332,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 def decode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``text`` made from ``tokens``; a null list gives a null text."""
     kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).schema.add("text", T.StringType())
+    schema, vocabulary = docs.select(*kept).schema.add("text", T.StringType()), shipped(docs.sparkSession, vocabulary)
 
     def run(batches):
         decoder = machines(vocabulary)[1]

@@ -1,7 +1,9 @@
 """Tables written to the folder that all executors share, to cut lineage.
 
 The folder is ``spark.checkpoint.dir`` of the session; only where that is
-unset (local tests) a temporary one is made. Written Parquet survives the loss
+unset and the master is local (tests) a temporary one is made. On a cluster a
+folder of the driver's machine would lose what executors write, so there an unset
+folder is an error. Written Parquet survives the loss
 of any executor, and a reader of it never replays what produced it.
 """
 
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's address; set for the session where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
