@@ -9,14 +9,19 @@ documents of Jaccard similarity s meet with probability
 
 Steps: (1) MinHashes of lower-case word 3-shingles, in Arrow batches; copies with
 equal normalised words collapse into one representative, so a key never holds
-them twice. (2) Table keys are formed and grouped in the JVM; only keys met by
-two representatives or more go on. (3) Candidates are verified by the exact
-Jaccard similarity of their shingle sets (``array_intersect``), in rounds that
-never test inside a group already joined: each document against the least one it
-meets, then group against group, and at last every pair of every key whose
-documents are still apart. So the groups are exactly the connected components of
-all verified candidate pairs, without a cap on key sizes and without testing the
-square of a large group. (4) Components by large-star / small-star.
+them twice. (2) Table keys are formed in the JVM and aggregated to counts and set
+digests, which combine before the shuffle; of keys met by the same set of
+representatives one is kept, and its members are rows, never an array, so a key that a
+third of the corpus meets is rows that the engine can split. (3) Candidates are verified
+by the exact Jaccard similarity of their shingle sets (``array_intersect``), in rounds
+that never test inside a group already joined: each document against the least one it
+meets, then group against group. What is still apart goes through an exact prefix
+filter: a pair that reaches the threshold shares one of the rarest shingles of both
+documents, so only such pairs are formed, and those that meet in some key and are of
+different groups are verified. So the groups are exactly the connected components of all
+verified candidate pairs, without a cap on key sizes, and neither a large group nor a
+large key of unlike documents is squared. (4) Components by large-star / small-star, by
+joins of rows.
 
 Defined results: null, empty and word-less texts belong to no group; a text of
 one or two words counts as one shingle; rows repeated with the same doc_id are
@@ -32,11 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import textkit as tk
 from tessera.llm.shared import Scratch
 
-SIDE, DEPTH, THRESHOLD, GRAM = 9, 2, 0.5, 3
+SIDE, DEPTH, THRESHOLD, GRAM, ROUNDS = 9, 2, 0.5, 3, 3
 PLAIN = re.compile(r"[\W_]+")
 
 
@@ -117,19 +123,20 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (doc_id, root), root the least id, for ids that have an edge.
 
     Alternates large-star and small-star (Kiveris et al., 2014) until nothing
-    changes; every round is written to the shared folder.
+    changes; every round is written to the shared folder. Neighbours are rows, so a
+    hub of any degree is split by the engine like any hot join key.
     """
     now = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-0")
     before, k = None, 0
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.collect_set("v").alias("vs"), F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.select(F.explode("vs").alias("x"), "m", "u").where("x > u").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.collect_set("v").alias("vs"), F.min("v").alias("m"))
-        small = down.select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down).where("u <> v").distinct()
         k += 1
         now = scratch.write(small, f"{tag}-{k}")
-        mark = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(f"{tag}-{k - 1}")
         if mark == before:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
@@ -145,6 +152,39 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(common >= threshold * (small + large - common)).select("u", "v")
 
 
+def meetings(keys: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, least) of the keys that several representatives share; of keys with the same members one stays."""
+    digest = [F.bit_xor(F.xxhash64(F.lit(salt), "rep")).alias(f"x{salt}") for salt in (1, 2)]
+    sets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), *digest).where("n > 1")
+    kept = sets.groupBy("n", "least", "x1", "x2").agg(F.min("key").alias("key")).select("key", "least")
+    return keys.join(kept.hint("shuffle_hash"), "key").select("key", F.col("rep").alias("doc_id"), "least")
+
+
+def prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v), u > v, of open documents (key, doc_id, root) that share a key, are of different groups and may reach the threshold.
+
+    Shingles are ordered by how many open documents have them. If J(x, y) >= t and
+    |y| <= |x|, they share at least t |x| shingles, hence one of the first
+    |x| - ceil(t |x|) + 1 of x and the first |y| - ceil(2 t / (1 + t) |y|) + 1 of y.
+    """
+    docs = open_.select("doc_id", "root").distinct()
+    held = docs.join(sets.hint("shuffle_hash"), "doc_id")
+    item = held.select("doc_id", "root", F.size("s").alias("n"), F.explode("s").alias("x"))
+    uses = item.groupBy("x").agg(F.count("*").alias("uses"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("uses", "x"))
+    short = F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold) - 1e-9) * F.col("n")) + 1
+    long = F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1
+    ranked = item.join(uses, "x").where("uses > 1").withColumn("nth", nth + F.col("n") - F.count("*").over(Window.partitionBy("doc_id")))
+    ranked = ranked.where(F.col("nth") <= long)
+    y = ranked.where(F.col("nth") <= short).select("x", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    x = ranked.select("x", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    pairs = y.join(x, "x").where((F.col("na") <= F.col("nb")) & (F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("na") >= F.lit(threshold) * F.col("nb")))
+    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    of = open_.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most SIDE * SIDE of them
+    ku, kv = (of.select(F.col("doc_id").alias(c), F.col("keys").alias(f"k{c}")) for c in "uv")
+    return pairs.join(ku, "u").join(kv, "v").where(F.arrays_overlap("ku", "kv")).select("u", "v")
+
+
 def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, group_id, group_size, is_kept) of every document that has a near or exact copy.
 
@@ -156,30 +196,27 @@ def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     same = sk.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
     key = F.xxhash64("i", "x", "j", "y")
     keys = same.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select(key.alias("key"), "rep")
-    lists = keys.groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("m")).where(F.size("m") > 1)
-    lists = scratch.write(lists.groupBy("m").agg(F.min("key").alias("key")), "lists")
-    member = lists.select("key", F.explode("m").alias("doc_id"))
+    member = scratch.write(meetings(keys), "members")
     sets = scratch.write(shingle_sets(docs, member.select("doc_id").distinct()), "sets")
 
-    first = lists.select(F.explode("m").alias("u"), F.element_at("m", 1).alias("v")).where("u <> v").groupBy("u").agg(F.min("v").alias("v"))
+    first = member.where("doc_id <> least").groupBy(F.col("doc_id").alias("u")).agg(F.min("least").alias("v"))
     edges = scratch.write(verified(first, sets, threshold), "edges-0")
-    open_, k = member, 0
+    open_, k = member.select("key", "doc_id"), 0
     while True:
         roots = components(scratch, edges, f"cc-{k}")
         named = open_.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         open_ = scratch.write(named.join(apart.select("key", "lo"), "key"), f"open-{k}")
-        if open_.isEmpty() or k == 3:
+        if open_.isEmpty() or k == ROUNDS:
             break
         k += 1
-        if k < 3:  # one document of each group against one of the key's least group
+        if k < ROUNDS:  # one document of each group against one of the key's least group
             of = open_.groupBy("key", "lo", "root").agg(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).alias("doc_id"))
             at = of.where("root = lo").select("key", F.col("doc_id").alias("v"))
             pairs = of.where("root <> lo").select("key", F.col("doc_id").alias("u")).join(at, "key").select("u", "v")
-        else:  # the rest, exactly: all pairs of different groups
-            x, y = (open_.select("key", F.col("doc_id").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-            pairs = x.join(y, "key").where("u > v and ru <> rv").select("u", "v")
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        else:  # the rest, exactly
+            pairs = prefix_pairs(open_, sets, threshold)
         new = scratch.write(verified(pairs, sets, threshold), f"edges-{k}")
         edges = edges.unionByName(new)
         open_ = open_.select("key", "doc_id")

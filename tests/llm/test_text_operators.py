@@ -100,6 +100,49 @@ def test_neardup_against_all_pairs(spark):
     assert kept == {i for i, _, _ in rows} - {i for i, r in got.items() if not r.is_kept}
 
 
+def templates(seed=4):
+    """Documents of one form text with fillings of their own (similar, but under the threshold), and near copies of some."""
+    g = random.Random(seed)
+    form, rows = invented(seed, 1, 120, 120)[0].split(), []
+    for i in range(70):
+        own = invented(1000 + i, 1, 90, 90)[0]
+        text = " ".join(form) + " " + own if i % 3 else own + " " + " ".join(form[: 100 + i % 20])
+        rows += [(10 * i + k, text if not k else spoil(text, 0.05, g), "s") for k in range(g.choice((1, 1, 1, 2, 4)))]
+    return rows
+
+
+def met_groups(rows, threshold):
+    """Components of the pairs that share a table key and are similar enough, by testing all of them."""
+    h, start, _, _ = neardup.shingles(pa.array([t for _, t, _ in rows]))
+    small = neardup.small_hashes(h, start)
+    sets = [shingle_set(t) for _, t, _ in rows]
+    root = {i: i for i, _, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    met = 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (small[a, :9] == small[b, :9]).any() and (small[a, 9:] == small[b, 9:]).any():
+            met += 1
+            if jaccard(sets[a], sets[b]) >= threshold:
+                x, y = find(rows[a][0]), find(rows[b][0])
+                root[max(x, y)] = min(x, y)
+    return met, {i: find(i) for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_a_hot_key_of_unlike_documents_is_resolved_exactly(spark, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    for rows in (templates(), copies(2)):
+        met, want = met_groups(rows, neardup.THRESHOLD)
+        assert met > 200
+        got = {r.doc_id: r.group_id for r in neardup.duplicate_groups(frame(spark, rows)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+
+
 def test_tensored_keys_follow_the_formula():
     g = random.Random(5)
     base = invented(9, 1, 400, 400)[0]
