@@ -11,11 +11,15 @@ The network is fitted on a bounded sample of labelled rows (``max_toxic`` and
 ``max_clean`` documents, chosen by hash), in one executor task. A document label
 says that *some* window is toxic, so after the first passes a toxic document
 keeps as positives only the windows that the network itself finds toxic. The
-threshold comes from held-out documents.
+threshold comes from held-out documents. ``MAX_WORDS`` is the number of words with a
+vector of their own (the most frequent of the sample, seen ``MIN_SEEN`` times or more);
+every other word has a common one and its trigrams, and is scored like any. With a vector
+for each word of the sample (43 809 of check_s) recall and clean documents lost are the
+same on held-out rows, 0.979 and 0.32 %, and the fit takes a third longer.
 
 Defined results: null, empty or blank text scores 0 and is never rejected; a
 null label or null doc_id in ``labels`` is ignored; a repeated label row counts
-once, toxic if any says so; without labels of both classes nothing is rejected.
+once, toxic if any says so; a repeated document is scored each time alike; without labels of both classes nothing is rejected.
 Columns of the input that are not named here are untouched.
 """
 
@@ -35,7 +39,7 @@ from tessera.llm import textkit as tk
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ATT = 8, 12, 8
-BUCKETS, MAX_WORDS = 8192, 6000
+BUCKETS, MAX_WORDS, MIN_SEEN = 8192, 6000, 3
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 BLOCK, SLICE = 4096, 4_000_000
 MIN_STEPS, CLEAN_LOSS = 300, 0.05
@@ -267,7 +271,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
     held = np.arange(len(texts)) % 5 == 4
     seen = np.bincount(w.codes[~held[tk.rows_of(w.offsets)]], minlength=len(w.vocab))
     top = np.argsort(-seen, kind="stable")[:MAX_WORDS]
-    model = Model.fresh([w.vocab[int(i)].as_py() for i in top if seen[i] > 2], seed)
+    model = Model.fresh([w.vocab[int(i)].as_py() for i in top if seen[i] >= MIN_SEEN], seed)
     tri, tri_start = trigram_codes(w.vocab)
     word_rows = model.word_ids(w.vocab)
     start, length, row = window_table(w.offsets)

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -111,34 +112,12 @@ def templates(seed=4):
     return rows
 
 
-def met_groups(rows, threshold):
-    """Components of the pairs that share a table key and are similar enough, by testing all of them."""
-    h, start, _, _ = neardup.shingles(pa.array([t for _, t, _ in rows]))
-    small = neardup.small_hashes(h, start)
-    sets = [shingle_set(t) for _, t, _ in rows]
-    root = {i: i for i, _, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    met = 0
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        if (small[a, :9] == small[b, :9]).any() and (small[a, 9:] == small[b, 9:]).any():
-            met += 1
-            if jaccard(sets[a], sets[b]) >= threshold:
-                x, y = find(rows[a][0]), find(rows[b][0])
-                root[max(x, y)] = min(x, y)
-    return met, {i: find(i) for i, _, _ in rows}
-
-
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_a_hot_key_of_unlike_documents_is_resolved_exactly(spark, monkeypatch, rounds):
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     for rows in (templates(), copies(2)):
-        met, want = met_groups(rows, neardup.THRESHOLD)
-        assert met > 200
+        want = brute.near_groups({i: t for i, t, _ in rows})
+        assert len(set(want.values())) > 40
         got = {r.doc_id: r.group_id for r in neardup.duplicate_groups(frame(spark, rows)).collect()}
         assert {i: got.get(i, i) for i in want} == want
 
@@ -371,6 +350,17 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(r.n_windows == len(range(0, max(1, len(new[r.doc_id].split()) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)) for r in rows)
 
 
+def test_scores_against_scalar_loops(spark):
+    texts, y = toxic_texts(1, 160)
+    model = toxicity.fit(texts, y, epochs=2)
+    new = [*toxic_texts(3, 8)[0], "", "one", "ß" * 50 + " 中文 🙂 --- _x_ don't", " ".join(["idiot"] * 100), " ".join(f"w{i}" for i in range(32)), " ".join(f"w{i}" for i in range(33))]
+    rows = toxicity.score_texts(frame(spark, [(i, t, "s") for i, t in enumerate(new)]), model.dumps()).collect()
+    for r in rows:
+        logit = brute.toxic_logit(model, new[r.doc_id])
+        assert abs(r.toxic_score - (0 if logit is None else brute.squash(logit))) < 1e-4
+        assert r.is_toxic == (logit is not None and logit >= model.threshold) or abs(logit - model.threshold) < 1e-4
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         start, length, row = toxicity.window_table(np.array([0, n]))
@@ -430,13 +420,6 @@ def test_toxicity_awkward(spark, awkward, empty):
 # --- 7 PII ------------------------------------------------------------------------------
 
 
-def slow_viterbi(model, e):
-    best = [(model.moves[0][t] + e[0][t], [t]) for t in range(len(pii.TAGS))]
-    for i in range(1, len(e)):
-        best = [max(((s + model.moves[p[-1]][t] + e[i][t], [*p, t]) for s, p in best), key=lambda x: x[0]) for t in range(len(pii.TAGS))]
-    return max(((s + model.moves[p[-1]][0], p) for s, p in best), key=lambda x: x[0])[1]
-
-
 def test_decoding_is_viterbi():
     model = pii.trained()
     table = pii_table.sentences(120, 77)
@@ -449,7 +432,7 @@ def test_decoding_is_viterbi():
     got2 = model.decode(noisy, offsets)
     for lo, hi in zip(offsets, offsets[1:]):
         if hi > lo:
-            assert got[lo:hi].tolist() == slow_viterbi(model, e[lo:hi]) and got2[lo:hi].tolist() == slow_viterbi(model, noisy[lo:hi])
+            assert got[lo:hi].tolist() == brute.viterbi(model, e[lo:hi]) and got2[lo:hi].tolist() == brute.viterbi(model, noisy[lo:hi])
 
 
 def test_pii_held_out_accuracy():
