@@ -5,6 +5,15 @@ All but the last stage return the columns of documents. Each takes
 decisions take effect: toxic documents go, one document of each near-duplicate
 group stays, personal data is masked, sources are brought to their target
 weights by dropping and repeating documents, and the rest becomes tokens.
+
+Defined results: the rules of the five operators, one after the other. A null, empty or
+blank text is never toxic nor a copy, and leaves at the mixing, which draws no null or
+empty text (a blank one can be drawn); so do rows with a null doc_id or source, which pass
+the first three stages. Rows repeated with one doc_id are one document: they stay or go
+together, and each is repeated as often as the document was drawn. Empty tables give no
+rows, and without labels of both classes nothing is toxic. Other columns pass through,
+whatever their names, but ``tokens``, ``n_tokens`` and ``round_trip``, which the last stage
+writes anew.
 """
 
 from __future__ import annotations
