@@ -206,11 +206,13 @@ def candidate(row: Any, adapter: Callable[[Mapping], Adapted], max_chars: int, b
     return None, fingerprint(m, t), m, t
 
 
-def adapt(df: DataFrame, name: str, keep: tuple[str, ...] = (), raw_json: str | None = None, *, min_score: float = MIN_SCORE, max_chars: int = 1_000_000, max_bytes: int = 4_000_000, max_nodes: int = 100_000, max_depth: int = 128) -> DataFrame:
-    """Candidate rows of ``df``, with the columns ``keep``. With ``raw_json`` the row is the JSON text of that column (a malformed one is invalid)."""
-    if name not in ADAPTERS:
+def adapt(df: DataFrame, name: str | Callable[[Mapping], Adapted], keep: tuple[str, ...] = (), raw_json: str | None = None, *, min_score: float = MIN_SCORE, max_chars: int = 1_000_000, max_bytes: int = 4_000_000, max_nodes: int = 100_000, max_depth: int = 128) -> DataFrame:
+    """Candidate rows of ``df``, with the columns ``keep``. ``name`` is a layout's name or a function from a row to (messages, tools). With ``raw_json`` the row is the JSON text of that column (a malformed one is invalid)."""
+    if not callable(name) and name not in ADAPTERS:
         raise Invalid(f"no adapter is named {name}")
-    function = (lambda r: scored(r, min_score)) if name == "opencode" else ADAPTERS[name]
+    if not math.isfinite(min_score):
+        raise Invalid("the least score must be finite")
+    function = name if callable(name) else (lambda r: scored(r, min_score)) if name == "opencode" else ADAPTERS[name]
     schema = df.select(*keep).schema
     for column, kind in CANDIDATE:
         schema = schema.add(column, kind)

@@ -19,7 +19,7 @@ from pyspark.sql import types as ST
 
 from tessera.functions import text as T
 from tessera.functions.canonical import decode
-from tessera.operators.tokenizers import ByteTokenizer, TokenizerFailure, TokenizerTimeout
+from tessera.operators.tokenizers import ByteTokenizer, TokenizerFailure, TokenizerTimeout, batch_encode, one_encode
 from tessera.plans import render
 from tessera.protocol import IGNORED, Invalid, check_ids
 
@@ -47,9 +47,7 @@ def compile_plans(plans: list[render.Plan], tokenizer: Any) -> list[Compiled]:
     """All plans with one tokenizer call over their distinct plaintexts."""
     ids = check_ids(tokenizer.ids)
     texts = list(dict.fromkeys(v for p in plans for s, v, _ in p.fragments if not s))
-    found = tokenizer.encode_batch(texts) if texts else []
-    if len(found) != len(texts):
-        raise TokenizerFailure("the tokenizer answered another number of texts")
+    found = batch_encode(tokenizer, texts) if texts else []
     lookup = dict(zip(texts, found))
     return [assemble(p, lookup, ids, tokenizer.eos) for p in plans]
 
@@ -66,7 +64,13 @@ def halving(plans: list[render.Plan], tokenizer: Any) -> list[Compiled | str]:
         if len(plans) > 1:
             half = len(plans) // 2
             return halving(plans[:half], tokenizer) + halving(plans[half:], tokenizer)
-        return ["tokenizer_failure" if isinstance(bad, (TokenizerFailure, TokenizerTimeout)) else "invalid"]
+        if isinstance(bad, (TokenizerFailure, TokenizerTimeout)):
+            return ["tokenizer_failure"]
+        try:  # a batch method may fail where the scalar one doesn't
+            texts = {v for s, v, _ in plans[0].fragments if not s}
+            return [assemble(plans[0], {t: one_encode(tokenizer, t) for t in texts}, check_ids(tokenizer.ids), tokenizer.eos)]
+        except Exception:  # noqa: BLE001
+            return ["invalid"]
 
 
 OPTIONS = ("ctrl_json", "caps_json")
@@ -74,7 +78,7 @@ ADDED = [("rejection", ST.StringType()), ("input_ids", ST.ArrayType(ST.IntegerTy
 
 
 def compile_rows(df: DataFrame, tokenizer: Any = None, max_length: int | None = 2048, batch: int = 128, **options: Any) -> DataFrame:
-    """``df`` (messages_json, tools_json, optional ctrl_json, caps_json, rejection) with rejection, input_ids, labels, assistant_mask and target_tokens.
+    """``df`` (messages_json, tools_json, optional ctrl_json, caps_json, preserve_thinking, rejection) with rejection, input_ids, labels, assistant_mask and target_tokens.
 
     Rows that come with a rejection keep it and are not compiled. In this order a
     row gets: invalid (no valid conversation), tokenizer_failure, too_long (more
@@ -90,7 +94,8 @@ def compile_rows(df: DataFrame, tokenizer: Any = None, max_length: int | None =
     def plan_of(r: dict) -> render.Plan | None:
         try:
             extra = {k.removesuffix("_json"): decode(r[k]) for k in OPTIONS if r.get(k) is not None}
-            return render.plan(decode(r["messages_json"]), decode(r["tools_json"] or "[]"), **extra, **options)
+            own = {"preserve_thinking": r["preserve_thinking"]} if r.get("preserve_thinking") is not None else {}
+            return render.plan(decode(r["messages_json"]), decode(r["tools_json"] or "[]"), **extra, **(options | own))
         except (Invalid, TypeError, ValueError, KeyError, RecursionError):
             return None
 
@@ -112,7 +117,7 @@ def compile_rows(df: DataFrame, tokenizer: Any = None, max_length: int | None =
         for full in batches:
             for lo in range(0, full.num_rows, batch):
                 part = full.slice(lo, batch)
-                cols = list(zip(*work(part.select([c for c in ("messages_json", "tools_json", "rejection", *OPTIONS) if c in part.schema.names]).to_pylist())))
+                cols = list(zip(*work(part.select([c for c in ("messages_json", "tools_json", "rejection", "preserve_thinking", *OPTIONS) if c in part.schema.names]).to_pylist())))
                 kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.int64()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(list(c), t) for c, t in zip(cols, kinds))], names=schema.names)
 

@@ -10,7 +10,8 @@ counted nor seen.
 As a plan: within a source the accepted rows are first good occurrences whose
 running sum of tokens *before* them is under the quota. The running sum is a
 two-level prefix sum (per bucket of the order key, then inside each bucket), so
-no task holds a whole source.
+no task holds a whole source. Tables of few rows (bucket sums, quotas) are joined
+without a hint: the engine broadcasts what it has measured to be small.
 """
 
 from __future__ import annotations
@@ -25,29 +26,64 @@ from pyspark.sql.window import Window
 BUCKETS = 4096
 
 
+def bucketed(df: DataFrame, order: str = "pos", buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``__b``, a bucket of the order key that keeps its order: a text's first three characters (a seeded shuffle's
+    keys are even over them), for a number the place among ``buckets`` quantiles of the key (each within 1 in
+    10 ``buckets``), so that uneven keys don't crowd one bucket.
+    """
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        return df.withColumn("__b", F.substring(order, 1, 3))
+    key = F.col(order) if not kind.startswith("struct") else F.col(order)[df.schema[order].dataType.names[0]]
+    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or []))
+    # a binary search over the sorted cuts, as an array literal
+    where = F.array_size(F.filter(F.lit(cuts), lambda c: c < key)) if len(cuts) < 2 else bisect(cuts, key)
+    return df.withColumn("__b", where)
+
+
+def bisect(cuts: list, key: Column) -> Column:
+    """How many of the sorted ``cuts`` lie under ``key``, in two steps over arrays of about the root of their number."""
+    step = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    block = F.size(F.filter(F.lit([b[0] for b in blocks]), lambda c: c < key)) - 1
+    inside = F.size(F.filter(F.element_at(F.lit(blocks), F.greatest(block, F.lit(0)) + 1), lambda c: c < key))
+    return F.when(block < 0, 0).otherwise(block * step + inside)
+
+
 def running_before(df: DataFrame, value: Column, order: str = "pos", buckets: int = BUCKETS) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of lesser ``order``.
 
-    The order key falls into buckets that keep its order: a text's first three
-    characters (a seeded shuffle's keys are even over them), equal spans of a number.
-    Bucket sums are few rows, their prefix sums are joined back, and each bucket
-    runs its own window.
+    Rows fall into buckets of the order key. Bucket sums are few rows (at most
+    ``buckets`` or the number of three-character prefixes), their prefix sums are joined
+    back, and each bucket runs its own window.
     """
-    kind = dict(df.dtypes)[order]
-    d = df.withColumn("__v", value.cast("bigint"))
-    if kind == "string":
-        d = d.withColumn("__b", F.substring(order, 1, 3))
-    else:
-        key = F.col(order) if not kind.startswith("struct") else F.col(order)[df.schema[order].dataType.names[0]]
-        span = df.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-        d = d.crossJoin(F.broadcast(span)).withColumn("__b", F.floor((key - F.col("__lo")) * buckets / (F.col("__hi") - F.col("__lo") + 1))).drop("__lo", "__hi")
+    d = bucketed(df.withColumn("__v", value.cast("bigint")), order, buckets)
     totals = d.groupBy("__b").agg(F.sum("__v").alias("__t"))
     upto = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(F.broadcast(upto), "__b")
+    d = d.join(upto, "__b")
     return d.withColumn("before", F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).drop("__b", "__v", "__base")
 
 
+def spans(df: DataFrame, order: str = "pos", first: int = 20_000, grow: int = 4) -> tuple[DataFrame, list[tuple]]:
+    """``df`` with ``__b``, and consecutive spans (lo, hi) of it: about ``first`` rows, then ``grow`` times as many each.
+
+    A caller that works span by span can stop early without having seen the rest.
+    """
+    d = bucketed(df, order)
+    counts = sorted((r["__b"], r["n"]) for r in d.groupBy("__b").agg(F.count("*").alias("n")).collect())
+    out: list[tuple] = []
+    held, goal, lo = 0, first, None
+    for b, n in counts:
+        lo = b if lo is None else lo
+        held += n
+        if held >= goal:
+            out.append((lo, b))
+            held, goal, lo = 0, goal * grow, None
+    return d, out if lo is None else [*out, (lo, counts[-1][0])]
+
+
 def running_before_native(df: DataFrame, value: Column, order: str = "pos") -> DataFrame:
     """The same by one window, for inputs known to be small."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +140,7 @@ def report(outcomes: DataFrame, quotas: dict[str, int]) -> DataFrame:
     dim = spark.createDataFrame(sorted(quotas.items()), "source string, quota bigint")
     got = outcomes.where("outcome = 'accepted'").groupBy("source").agg(F.count("*").alias("rows"), F.sum("target_tokens").alias("target_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return F.broadcast(dim).join(got, "source", "left").select("source", "quota", zero("rows"), zero("target_tokens"), (F.coalesce("target_tokens", F.lit(0)) >= F.col("quota")).alias("complete"))
+    return dim.join(got, "source", "left").select("source", "quota", zero("rows"), zero("target_tokens"), (F.coalesce("target_tokens", F.lit(0)) >= F.col("quota")).alias("complete"))
 
 
 def rejections(outcomes: DataFrame) -> DataFrame:

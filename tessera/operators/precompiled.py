@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +63,13 @@ def validate(df: DataFrame, vocab_size: int, max_length: int = 2048, full_loss:
     return out.withColumn("labels", F.when(F.col("fault").isNull(), F.col("input_ids")).otherwise(F.col("labels"))) if full_loss else out
 
 
-def compile_strict(df: DataFrame, tokenizer: Any, max_length: int | None = None, full_loss: bool = False) -> DataFrame:
-    """Compile rows of messages_json for training; any row that fails, fails the job."""
-    done = compile_rows(df, tokenizer, max_length, full_loss=full_loss)
-    ok = F.when(F.col("rejection").isNotNull(), F.raise_error(F.concat(F.lit("row can't be compiled: "), "rejection")).cast("array<int>")).otherwise(F.col("input_ids"))
+def compile_strict(df: DataFrame, tokenizer: Any, max_length: int | None = None, full_loss: bool = False, messages: str = "messages_json") -> DataFrame:
+    """Compile rows of messages for training (``tools`` or ``tools_json``, ctrl_json, caps_json and preserve_thinking where they are there); any row that fails, fails the job."""
+    tools = next((F.col(c) for c in ("tools", "tools_json") if c in df.columns), F.lit(None))
+    rows = df.withColumns({"messages_json": F.col(messages), "tools_json": F.coalesce(tools.cast("string"), F.lit("[]"))})
+    done = compile_rows(rows.drop("rejection"), tokenizer, max_length, full_loss=full_loss)
+    bad = F.col("rejection").isNotNull() & ~((F.col("rejection") == "no_target") & F.lit(full_loss))
+    ok = F.when(bad, F.raise_error(F.concat(F.lit("row can't be compiled: "), "rejection")).cast("array<int>")).otherwise(F.col("input_ids"))
     return done.withColumn("input_ids", ok).drop("rejection")
 
 
@@ -79,23 +83,33 @@ def check_manifest(manifest: Mapping[str, Any], tokenizer: str, revision: str, d
 
 def load_precompiled(spark, paths: list[str], manifest_path: str | None, tokenizer: str, revision: str, **check: Any) -> DataFrame:
     """Gate, then read: one output, its manifest, its checksum, every row checked."""
-    from tessera.sources.sinks import checksum
+    from tessera.sources import sinks, storage
 
     if len(paths) != 1:
         raise Invalid("exactly one precompiled output is needed")
-    with open(manifest_path or f"{paths[0]}.manifest.json", encoding="utf-8") as f:
-        check_manifest(json.load(f), tokenizer, revision, checksum(paths[0]))
+    check_manifest(storage.read_json(spark, manifest_path or f"{paths[0]}.manifest.json"), tokenizer, revision, sinks.checksum(spark, paths[0]))
     return validate(spark.read.parquet(paths[0]), **check)
 
 
+def load(spark, paths: list[str], tokenizer: Any, *, manifest_path: str | None = None, name: str = "bytes", revision: str = "1", messages: str = "messages", max_length: int = 2048, full_loss: bool = False) -> DataFrame:
+    """Training rows of either kind: a compiled table behind its gate, or messages (Parquet or JSON lines) compiled strictly."""
+    from tessera.sources import readers
+
+    if all(p.endswith((".jsonl", ".json")) for p in paths):
+        df = spark.read.schema(f"`{messages}` string, tools string, tools_json string, ctrl_json string, caps_json string, preserve_thinking boolean").json(paths)
+    else:
+        df = readers.scan(spark, paths)
+    if mode(df, messages) == "precompiled":
+        return load_precompiled(spark, paths, manifest_path, name, revision, vocab_size=tokenizer.size, max_length=max_length, full_loss=full_loss)
+    return compile_strict(df, tokenizer, None, full_loss, messages)
+
+
 def best_fit(lengths: list[int], size: int) -> list[int]:
     """Bin of each item, by best fit decreasing; equal room goes to the earlier bin. Space classes keep it O(n * size) at worst, O(n) in practice."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     open_: list[list[int]] = [[] for _ in range(size + 1)]
     rooms: list[int] = []  # sorted free spaces in use
     out, bins = [0] * len(lengths), 0
-    from bisect import bisect_left, insort
-
     for i in order:
         need = lengths[i]
         at = bisect_left(rooms, need)
@@ -119,54 +133,80 @@ def best_fit(lengths: list[int], size: int) -> list[int]:
 PACKED = "bin_id string, seg_no int, row_id string, input_ids array<int>, labels array<int>, position_ids array<int>, fault string"
 
 
-def pack(df: DataFrame, row_id: str, max_length: int = 2048, groups: int | None = None) -> DataFrame:
+#: Ids that a packing task holds at a time; a bin never crosses such a group.
+GROUP_TOKENS = 16_000_000
+
+
+def pack(df: DataFrame, row_id: str, max_length: int = 2048, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Pack rows into bins of at most ``max_length`` ids by best-fit decreasing. Every row comes back once.
 
     A row that fits no bin is returned whole with a ``fault``, as ``fault()`` names it:
     ``too_long`` in a bin of its own, which is over ``max_length``; ``empty`` and
     ``missing`` (null ids) in no bin. ``fault`` is null for packed rows.
 
-    Rows are spread over ``groups`` by a hash of their id and packed inside each, so
-    packing is parallel and the result does not depend on partitioning; a group's
-    loss against one global packing is under one bin. Each segment's position ids
-    start at 0, which marks where a recurrent state begins anew.
+    Rows are spread over groups by a hash of their id, as many groups as the table has
+    ``group_tokens`` ids, and packed inside each, so packing is parallel; a group's loss
+    against one global packing is under one bin. A task holds one group as Arrow arrays, and
+    a group that grows beyond twice its size (one id repeated over and over) is packed in
+    pieces of the order (row id, ids). So bins depend on the rows and on ``group_tokens``
+    alone, not on partitions or settings. Each segment's position ids start at 0, which
+    marks where a recurrent state begins anew.
     """
-    if groups is None:
-        groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids, names = F.col("input_ids").cast("array<int>"), [c.split()[0] for c in PACKED.split(", ")]
+    total = df.agg(F.sum(F.size("input_ids").cast("bigint"))).first()[0] or 0
+    groups = max(1, -(-total // group_tokens))
+
+    def packed(t: pa.Table, piece: int) -> Iterator[pa.RecordBatch]:
+        size, faults = t.column("n").to_numpy(), t.column("fault").to_pylist()
+        fit = [i for i, f in enumerate(faults) if f is None]
+        bin_of = [-1] * len(faults)
+        for i, b in zip(fit, best_fit([int(size[i]) for i in fit], max_length)):
+            bin_of[i] = b
+        order = sorted(fit, key=lambda i: (bin_of[i], -size[i], i))
+        n = 1 + max(bin_of, default=-1)
+        for i, f in enumerate(faults):
+            if f == "too_long":
+                bin_of[i], n = n, n + 1
+                order.append(i)
+        order += [i for i, f in enumerate(faults) if f in ("empty", "missing")]
+        seg, last = [], None
+        for i in order:
+            seg.append(None if bin_of[i] < 0 else 0 if bin_of[i] != last else seg[-1] + 1)
+            last = bin_of[i]
+        g = t.column("g")[0].as_py()
+        for lo in range(0, len(order), 1024):
+            at = order[lo : lo + 1024]
+            part = t.take(at)
+            lengths = [max(0, int(size[i])) for i in at]
+            positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])), mask=pa.array([bin_of[i] < 0 for i in at]))
+            bins = pa.array([None if bin_of[i] < 0 else f"{g}-{piece}-{bin_of[i]}" for i in at], pa.string())
+            cols = [bins, pa.array(seg[lo : lo + 1024], pa.int32()), part.column("row_id"), part.column("input_ids"), part.column("labels"), positions, part.column("fault")]
+            yield from pa.table(cols, names=names).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def flush() -> pa.RecordBatch:
-            fit = [r for r in held if r["fault"] is None]
-            bins = best_fit([len(r["input_ids"]) for r in fit], max_length)
-            seen: dict[int, int] = {}
-            rows = []
-            for r, b in sorted(zip(fit, bins), key=lambda p: (p[1], -len(p[0]["input_ids"]), p[0]["row_id"])):
-                seen[b] = seen.get(b, -1) + 1
-                rows.append((f"{r['g']}-{b}", seen[b], r["row_id"], r["input_ids"], r["labels"], list(range(len(r["input_ids"]))), None))
-            b = len(seen)
-            for r in held:
-                if r["fault"] == "too_long":
-                    rows.append((f"{r['g']}-{b}", 0, r["row_id"], r["input_ids"], r["labels"], list(range(len(r["input_ids"]))), r["fault"]))
-                    b += 1
-                elif r["fault"] is not None:
-                    rows.append((None, None, r["row_id"], r["input_ids"], r["labels"], None, r["fault"]))
-            cols = list(zip(*rows))
-            ints = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), ints, ints, ints, pa.string()))], names=["bin_id", "seg_no", "row_id", "input_ids", "labels", "position_ids", "fault"])
-
+        held: list[pa.RecordBatch] = []
+        tokens, now, piece = 0, None, 0
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and held[0]["g"] != r["g"]:
-                    yield flush()
-                    held = []
-                held.append(r)
+            g, n = batch.column("g").to_numpy(), np.maximum(batch.column("n").to_numpy(), 1)
+            lo = 0
+            while lo < len(g):
+                if g[lo] != now:
+                    if held:
+                        yield from packed(pa.Table.from_batches(held), piece)
+                    held, tokens, piece, now = [], 0, 0, g[lo]
+                hi = lo + int(np.searchsorted(g[lo:], now, side="right"))
+                hi = min(hi, lo + 1 + int(np.searchsorted(np.cumsum(n[lo:hi]), 2 * group_tokens - tokens)))
+                held.append(batch.slice(lo, hi - lo))
+                tokens += int(n[lo:hi].sum())
+                if tokens >= 2 * group_tokens:
+                    yield from packed(pa.Table.from_batches(held), piece)
+                    held, tokens, piece = [], 0, piece + 1
+                lo = hi
         if held:
-            yield flush()
+            yield from packed(pa.Table.from_batches(held), piece)
 
-    group = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(groups)).alias("g")
     size = F.size("input_ids")
     wrong = F.when(F.col("input_ids").isNull(), "missing").when(size == 0, "empty").when(size > max_length, "too_long").alias("fault")
-    rows = df.select(group, F.col(row_id).cast("string").alias("row_id"), F.col("input_ids").cast("array<int>"), F.col("labels").cast("array<int>"), wrong)
-    return rows.repartition("g").sortWithinPartitions("g", "row_id").mapInArrow(run, PACKED)
+    group = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(groups)).alias("g")
+    rows = df.select(group, F.coalesce(size, F.lit(0)).alias("n"), F.col(row_id).cast("string").alias("row_id"), ids.alias("input_ids"), F.col("labels").cast("array<int>").alias("labels"), wrong)
+    return rows.repartition("g").sortWithinPartitions("g", "row_id", "input_ids").mapInArrow(run, PACKED)

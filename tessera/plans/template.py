@@ -10,12 +10,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from importlib import resources
+from pathlib import Path
 from typing import Any
 
 from tessera.functions.canonical import is_list
 from tessera.protocol import EOT, MARKERS, MODEL_ROLE, PAYLOAD_KEY, RUNTIME_BLOCK, TEXT_KEY, Invalid
 
 
+def load_template(path: str | Path | None = None) -> str:
+    """The text of a template for other renderers: that at ``path`` (no link, and it must exist), else the packaged one."""
+    if path is None:
+        return resources.files("tessera.plans").joinpath("conversation.jinja").read_text(encoding="utf-8")
+    given = Path(path).expanduser()
+    if given.is_symlink() or not given.is_file():
+        raise FileNotFoundError(f"no template at {given}")
+    return given.read_text(encoding="utf-8")
+
+
 def to_json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 

@@ -21,7 +21,7 @@ ROLES = frozenset((*RUNTIME_BLOCK, MODEL_ROLE))
 #: Other names of roles found in source data.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "function": "tool"}
 
-#: Keys under which structured content carries its own text.
+#: Keys under which structured content carries its own text; both are names of the wire format.
 PAYLOAD_KEY, TEXT_KEY = "smi_payload", "text"
 IGNORED = -100
 

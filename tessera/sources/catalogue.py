@@ -37,14 +37,14 @@ def shards(n: int) -> list[str]:
     return [f"data/train-{i:05d}-of-{n:05d}.parquet" for i in range(n)]
 
 
-MAIN = "main"
+AGENTIC, MATH, CODE = "7c804833427f633ccd53b582dbf02525fd680f78", "e4e141ec9dea9f8326f4d347be56105859b2bd68", "8f3ba5bafe4d6e8db46082cf7ae6741bc370604d"
 DEFAULT_SOURCES = (
     SourceSpec("ultrachat", "HuggingFaceH4/ultrachat_200k", None, "train_sft", "8049631c405ae6576f93f445c6b8166f76f5505a", "MIT", 3_500_000, "ultrachat"),
     SourceSpec("aya", aya := "CohereLabs/aya_dataset", "default", "train", rev := "f9ea04583f02a8f86404ff6c58bf75fe637df8a2", "Apache-2.0", 1_000_000, "aya", hub(aya, rev, *shards(1)), ("inputs", "targets")),
-    SourceSpec("nemotron_agentic", agentic := "nvidia/Nemotron-SFT-Agentic-v2", None, "tool_calling", MAIN, "CC-BY-4.0 / Apache-2.0 / MIT", 2_810_000, "nemotron", hub(agentic, MAIN, "data/tool_calling.jsonl"), ("messages", "tools")),
+    SourceSpec("nemotron_agentic", agentic := "nvidia/Nemotron-SFT-Agentic-v2", None, "tool_calling", AGENTIC, "CC-BY-4.0 / Apache-2.0 / MIT", 2_810_000, "nemotron", hub(agentic, AGENTIC, "data/tool_calling.jsonl"), ("messages", "tools")),
     SourceSpec("hermes_func_calling", "NousResearch/hermes-function-calling-v1", "func_calling", "train", "dae3e1d28cfbcf4b915c04ea1e072030529b4bda", "Apache-2.0", 190_000, "hermes"),
-    SourceSpec("openr1_math", math := "open-r1/OpenR1-Math-220k", "default", "train", MAIN, "Apache-2.0", 1_000_000, "openr1", hub(math, MAIN, *shards(10)), ("problem", "generations", "is_reasoning_complete", "correctness_math_verify", "correctness_llama", "answer")),
-    SourceSpec("opencodeinstruct", code := "nvidia/OpenCodeInstruct", "train", "train", MAIN, "CC-BY-4.0", 1_500_000, "opencode", hub(code, MAIN, *shards(50)), ("average_test_score", "input", "output")),
+    SourceSpec("openr1_math", math := "open-r1/OpenR1-Math-220k", "default", "train", MATH, "Apache-2.0", 1_000_000, "openr1", hub(math, MATH, *shards(10)), ("problem", "generations", "is_reasoning_complete", "correctness_math_verify", "correctness_llama", "answer")),
+    SourceSpec("opencodeinstruct", code := "nvidia/OpenCodeInstruct", "train", "train", CODE, "CC-BY-4.0", 1_500_000, "opencode", hub(code, CODE, *shards(50)), ("average_test_score", "input", "output")),
 )
 
 

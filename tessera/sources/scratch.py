@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``; a temporary one where it is unset)."""
+"""Intermediate tables in the folder that all executors share, ``spark.checkpoint.dir``.
+
+Where that is unset, a temporary folder is made if the master is local; on a cluster
+it would lie on the driver's machine alone, so there it is an error.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ def saver(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFram
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

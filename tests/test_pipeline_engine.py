@@ -129,7 +129,7 @@ def test_packing_keeps_all_and_fits(spark):
 
     g = random.Random(2)
     rows = [(str(i), [i] * g.randint(1, 20), [i]) for i in range(300)]
-    got = precompiled.pack(spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>"), "id", 20, groups=3).collect()
+    got = precompiled.pack(spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>"), "id", 20, group_tokens=1000).collect()
     assert sorted(r.row_id for r in got) == sorted(r[0] for r in rows)
     bins = {}
     for r in got:
@@ -140,7 +140,7 @@ def test_packing_keeps_all_and_fits(spark):
 
 def test_packing_reports_rows_that_fit_no_bin(spark):
     rows = [("a", [1] * 5, [1] * 5), ("b", [2] * 21, [2] * 21), ("c", [3] * 30, [3] * 30), ("d", [], []), ("e", None, None), ("f", [4] * 20, [4] * 20)]
-    got = precompiled.pack(spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>"), "id", 20, groups=1).collect()
+    got = precompiled.pack(spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>"), "id", 20).collect()
     assert sorted((r.row_id, r.fault) for r in got if r.fault) == [("b", "too_long"), ("c", "too_long"), ("d", "empty"), ("e", "missing")]
     assert sorted((r.row_id, r.input_ids, r.labels) for r in got) == rows
     assert len({r.bin_id for r in got if r.row_id in "abcf"}) == 4 and all(r.bin_id is None for r in got if r.row_id in "de")
@@ -202,9 +202,285 @@ def test_sources(spark, tmp_path):
     got = [json.loads(r.raw) if r.raw != "{bad" else r.raw for r in readers.scan(spark, [str(tmp_path / "a.jsonl")], ("a",)).collect()]
     assert got == [{"a": 1}, [1], "{bad", {"a": None}]
     with pytest.raises(FileNotFoundError):
-        readers.resolve("https://example.org/x.parquet?download=1", str(tmp_path))
+        readers.resolve(spark, ["https://example.org/x.parquet?download=1"], str(tmp_path))
     assert readers.cached_path("https://example.org/x.parquet?download=1", "/c").suffix == ".parquet"
     shards = [spark.createDataFrame([(s, i) for i in range(n)], "s int, i int").coalesce(1) for s, n in ((0, 3), (1, 1), (2, 2))]
     assert [(r.s, r.i) for r in readers.interleave(shards).orderBy("pos").collect()] == [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2)]
     with pytest.raises(Invalid):
         sinks.check_launch({"complete": True, "files": []}, None, None)
+
+
+PAIRS = "inputs string, targets string"
+
+
+def test_orders_do_not_depend_on_splits(spark, tmp_path):
+    rows = [(f"q{i % 700}", "same" if i % 3 else f"a{i}") for i in range(2000)]
+    spark.createDataFrame(rows, PAIRS).repartition(5).write.option("parquet.block.size", 2048).parquet(f"{tmp_path}/p")
+    files = sorted(str(f) for f in (tmp_path / "p").glob("*.parquet"))
+    (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"inputs": a, "targets": b}) for a, b in rows + rows[:300]))
+    specs = [SourceSpec("p", "d", None, "train", "r", "MIT", 1, "aya", tuple(files), ("inputs", "targets")), SourceSpec("l", "d", None, "train", "r", "MIT", 1, "aya", f"{tmp_path}/l.jsonl", ("inputs", "targets"))]
+    seen = {}
+    try:
+        for size in ("100000000", "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for spec in specs:
+                d = readers.read_source(spark, spec, 7)
+                got = sorted(map(tuple, d.collect()), key=str)
+                assert len({r[-1] for r in got}) == len(got) == (2000 if spec.name == "p" else 2300)
+                assert seen.setdefault(spec.name, got) == got
+                seen.setdefault(spec.name + " partitions", set()).add(d.rdd.getNumPartitions() if spec.name == "p" else 0)
+        assert len(seen["p partitions"]) == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    turns = readers.read_source(spark, specs[0], 7, order="interleaved").orderBy("pos").limit(10).collect()
+    assert len({r.pos for r in turns}) == 10 and {r.pos % 5 for r in turns[:5]} == set(range(5))
+    with pytest.raises(Invalid):
+        readers.read_source(spark, specs[1], 7, order="interleaved")
+
+
+def test_numbering_of_equal_rows_over_salts(spark):
+    d = spark.createDataFrame([("x",)] * 500 + [("y",)] * 3 + [("z",)], "c string").repartition(7)
+    got = readers.numbered(d, "c", salts=5).collect()
+    assert sorted((r.c, r.nth) for r in got) == [("x", i) for i in range(500)] + [("y", i) for i in range(3)] + [("z", 0)]
+
+
+@pytest.mark.parametrize("quota", [50, 100_000])
+def test_build_stops_at_the_quota(spark, tmp_path, quota):
+    g = __import__("random").Random(4)
+    rows = [(i, f"q{g.randrange(900)}", g.choice(("a", "bb", " "))) for i in range(3000)]
+    specs = tuple(SourceSpec(n, "d", None, "train", "r", "MIT", quota, "aya") for n in ("one", "two"))
+    provide = lambda s, spec, seed: s.createDataFrame(rows if spec.name == "one" else [(i, a, b + "c") for i, a, b in rows], "pos bigint, " + PAIRS)
+    events = []
+    done = prepare(spark, tmp_path / "out", specs, row_provider=provide, first_span=60, progress=events.append)
+    last = {e["source"]: e for e in events}
+    whole = prepare(spark, tmp_path / "whole", specs, row_provider=provide)
+    assert done["output_sha256"] and done["sources"] == whole["sources"] and done["total_rows"] == whole["total_rows"]
+    table = lambda n: sorted(map(str, spark.read.parquet(f"{tmp_path}/{n}").collect()))
+    assert table("out") == table("whole")
+    if quota == 50:
+        assert all(e["compiled"] <= 300 and e["target_tokens"] >= quota for e in last.values())
+        assert all(e["seen"] == e["rows"] + sum(s["rejected"].values()) for e, s in ((last[s["name"]], s) for s in done["sources"]))
+    else:
+        assert all(e["compiled"] == 3000 for e in last.values()) and not done["complete"]
+    assert not (tmp_path / ".out.work").exists()
+
+
+def test_build_of_files_is_the_same_under_two_splits(spark, tmp_path):
+    rows = [(f"q{i % 50}", f"a{i % 70}") for i in range(400)]
+    (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"inputs": a, "targets": b}) for a, b in rows))
+    spec = SourceSpec("l", "d", None, "train", "r", "MIT", 700, "mine", f"{tmp_path}/l.jsonl", ("inputs", "targets"))
+    mine = lambda row: ([{"role": "user", "content": row["inputs"]}, {"role": "assistant", "content": row["targets"]}], [])
+    digests = set()
+    try:
+        for k, size in enumerate(("100000000", "1000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            done = prepare(spark, f"file://{tmp_path}/o{k}.parquet", (spec,), custom={"mine": mine}, single_file=True, first_span=30)
+            import hashlib
+
+            assert done["output_sha256"] == hashlib.sha256((tmp_path / f"o{k}.parquet").read_bytes()).hexdigest()
+            digests.add(str(sorted(map(str, spark.read.parquet(f"{tmp_path}/o{k}.parquet").collect()))))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(digests) == 1 and done["complete"]
+
+
+def test_packing_depends_on_rows_alone(spark):
+    g = __import__("random").Random(6)
+    rows = [(str(i), [i] * g.randint(1, 30), [i]) for i in range(400)] + [("hot", [7] * 9, [7])] * 300
+    d = spark.createDataFrame(rows, "id string, input_ids array<int>, labels array<int>")
+    found = []
+    for parts, shuffle in ((1, "4"), (9, "64")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        found.append(sorted(map(str, precompiled.pack(d.repartition(parts), "id", 32, group_tokens=500).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) == 700
+    for limit in (500, 10**6):
+        used, group = {}, {}
+        for r in precompiled.pack(d, "id", 32, group_tokens=limit).collect():
+            used[r.bin_id] = used.get(r.bin_id, 0) + len(r.input_ids)
+            piece = r.bin_id.rsplit("-", 1)[0]
+            group[piece] = group.get(piece, 0) + len(r.input_ids)
+        assert max(used.values()) <= 32 and max(group.values()) < 2 * limit + 32
+    one = precompiled.pack(d, "id", 32).collect()
+    order = sorted(one, key=lambda r: (r.row_id, list(r.input_ids)))
+    want = precompiled.best_fit([len(r.input_ids) for r in order], 32)
+    assert len({r.bin_id for r in one}) == len(set(want)) and sorted(f"0-0-{b}" for b in want) == sorted(r.bin_id for r in one)
+
+
+def test_streamed_batches_and_a_replay_follow_the_rule(spark, tmp_path):
+    from tessera.streaming import ingest
+
+    g = __import__("random").Random(9)
+    kind = {f"{k:02x}fp": (g.choice([None, None, None, "too_long"]), g.randint(0, 9)) for k in range(90)}
+    rows = [(i, g.choice("ab"), fp, *kind[fp]) for i, fp in enumerate(g.choice(list(kind)) for _ in range(360))]
+    quotas, size = {"a": 90, "b": 10**6}, 40
+    schema = "pos bigint, source string, fingerprint string, rejection string, target_tokens bigint"
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size] + [(10**6 + k, "unknown", "x", None, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    root = f"file://{tmp_path}/out"
+    ingest.run(stream, root, f"{tmp_path}/check", quotas)
+    accepted, tokens, want = set(), {"a": 0, "b": 0}, []
+    for k in range(0, len(rows), size):
+        for source in "ab":
+            for pos, s, fp, why, n in rows[k : k + size]:
+                if s != source or tokens[s] >= quotas[s]:
+                    continue
+                outcome = "duplicate" if fp in accepted else why or "accepted"
+                want.append((fp, s, n, outcome))
+                if outcome == "accepted":
+                    accepted.add(fp)
+                    tokens[s] += n
+    read = lambda: sorted((r.fingerprint, r.source, r.target_tokens, r.outcome) for r in ingest.outcomes(spark, root).collect())
+    assert read() == sorted(want)
+    state = ingest.state(spark, root, 8)
+    assert state["tokens"] == tokens and len(state["segments"]) <= 4
+    assert {r.fingerprint for r in ingest.seen(spark, state["segments"]).collect()} == accepted
+    again = spark.createDataFrame(rows[320:], schema)
+    ingest.handler(root, quotas)(again, 8)  # the last batch once more, as after a failure
+    assert read() == sorted(want) and ingest.state(spark, root, 8) == state
+    assert len(list((tmp_path / "out/state").glob("[0-9]*.json"))) == 2
+
+
+def test_tokenizers_apart_and_foreign_ones(spark):
+    from tessera.operators.compile import compile_rows
+    from tessera.operators.tokenizers import SECURE, IsolatedTokenizer, TokenizerFailure
+
+    class Tokens:
+        """A third-party tokenizer with the call alone."""
+
+        eos, ids, size = 0, ByteTokenizer.ids, 267
+
+        def __call__(self, texts, *, add_special_tokens, split_special_tokens, padding, truncation):
+            assert split_special_tokens and not add_special_tokens
+            if any("odd" in t for t in texts):
+                raise RuntimeError("batch fails")
+            return {"input_ids": ByteTokenizer().encode_batch(texts)}
+
+        def encode(self, text, **_):
+            return ByteTokenizer().encode_batch([text])[0]
+
+    chat = lambda t: json.dumps([{"role": "user", "content": t}, {"role": "assistant", "content": "hi"}])
+    d = spark.createDataFrame([(i, chat(t), "[]", None if i else False) for i, t in enumerate(("one", "odd", "three"))], "id int, messages_json string, tools_json string, preserve_thinking boolean")
+    want = sorted(map(str, compile_rows(d, ByteTokenizer()).collect()))
+    with IsolatedTokenizer(ByteTokenizer, 30, ByteTokenizer.ids, 0, 267) as apart:
+        assert sorted(map(str, compile_rows(d, apart).collect())) == want
+        assert apart.encode_batch(["a"]) == [[108]]
+    with pytest.raises(TokenizerFailure):
+        apart.encode_batch(["a"])
+    assert sorted(map(str, compile_rows(d, Tokens()).collect())) == want
+    assert ByteTokenizer()(["a"], **SECURE) == {"input_ids": [[108]]}
+    with pytest.raises(Invalid):
+        ByteTokenizer()(["a"], **{**SECURE, "split_special_tokens": False})
+
+
+def test_serialised_tokenizer_and_strict_loading(spark, tmp_path):
+    from tessera.operators.tokenizers import byte_level, from_backend_json
+    from tessera.protocol import MARKERS
+
+    vocab = {"<unk>": 0} | {c: i + 1 for i, c in enumerate(byte_level().values())} | {"the": 300, "Ġthe": 301}
+    config = {"model": {"type": "WordPiece", "unk_token": "<unk>", "continuing_subword_prefix": "", "max_input_chars_per_word": 2**31 - 1, "vocab": vocab}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": False}, "normalizer": None, "added_tokens": [{"id": 400, "content": "<|endoftext|>"}, {"id": 401, "content": MARKERS["ctrl"]}]}
+    t = from_backend_json(json.dumps(config), "<|endoftext|>")
+    assert t.eos == 400 and t.ids[MARKERS["ctrl"]] == 401 and min(i for m, i in t.ids.items() if m != MARKERS["ctrl"]) == 402
+    assert t.encode_batch(["the the"]) == [[300, 301]] and len(t.encode_batch(["<|ctrl|>"])[0]) == 8
+    (tmp_path / "t.json").write_text(json.dumps(config))
+    line = {"messages": json.dumps([{"role": "user", "content": "the"}, {"role": "assistant", "thinking": "why", "content": "the the"}]), "preserve_thinking": False}
+    (tmp_path / "m.jsonl").write_text(json.dumps(line))
+    rows = precompiled.load(spark, [f"{tmp_path}/m.jsonl"], t).collect()
+    assert len(rows) == 1 and 300 in rows[0].input_ids and t.ids[MARKERS["think"]] not in rows[0].input_ids
+    (tmp_path / "bad.jsonl").write_text(json.dumps({"messages": "[]"}))
+    with pytest.raises(Exception, match="can't be compiled"):
+        precompiled.load(spark, [f"{tmp_path}/bad.jsonl"], t).collect()
+    from tessera import cli
+
+    assert cli.main(["check", "--data", f"{tmp_path}/m.jsonl", "--tokenizer", f"{tmp_path}/t.json", "--tokenizer-timeout-seconds", "30", "--packed", f"{tmp_path}/packed"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/packed").count() == 1 and "<|eot|>" in (tmp_path / "packed/_chat_template.txt").read_text()
+
+
+def test_command_line_build_from_a_cache(spark, tmp_path, monkeypatch):
+    from tessera import cli
+
+    spec = catalogue.DEFAULT_SOURCES[1]
+    spark.createDataFrame([(f"q{i}", f"answer {i}", i) for i in range(40)], PAIRS + ", other int").coalesce(1).write.parquet(f"{tmp_path}/t")
+    (tmp_path / "cache").mkdir()
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "cache" / readers.cached_path(spec.urls[0], "/").name)
+    monkeypatch.setenv(readers.CACHE_VARIABLE, str(tmp_path / "cache"))
+    quotas = [x for s in catalogue.DEFAULT_SOURCES for x in ("--quota", f"{s.name}={200 if s.name == 'aya' else 0}")]
+    assert cli.main(["prepare", "--output", f"{tmp_path}/o.parquet", "--single-file", *quotas]) == 0
+    made = json.loads((tmp_path / "o.parquet.manifest.json").read_text())
+    assert made["complete"] and made["source_cache"] == str(tmp_path / "cache") and 0 < made["total_rows"] < 40
+    assert cli.main(["check", "--data", f"{tmp_path}/o.parquet"]) == 0
+
+
+def test_web_files_are_copied_by_the_executors(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    spark.createDataFrame([(f"q{i}", "a") for i in range(9)], PAIRS).coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "x.parquet")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        spec = SourceSpec("w", "d", None, "train", "r", "MIT", 1, "aya", f"{base}/x.parquet", ("inputs", "targets"))
+        assert readers.read_source(spark, spec).count() == 9
+        made = sinks.fill_cache([f"{base}/x.parquet"], tmp_path / "cache")
+        assert made["complete"] and made["files"][0]["size"] == (tmp_path / "x.parquet").stat().st_size
+        assert readers.read_source(spark, spec, cache=str(tmp_path / "cache")).count() == 9
+        with pytest.raises(Exception, match="404"):
+            readers.resolve(spark, [f"{base}/none.parquet"])
+    finally:
+        server.shutdown()
+
+
+def test_hub_snapshots_and_streams(spark, tmp_path, monkeypatch):
+    from tessera.sources import hub
+
+    chat, tools = catalogue.DEFAULT_SOURCES[0], catalogue.DEFAULT_SOURCES[3]
+    assert not chat.urls and not tools.urls
+    top = tmp_path / chat.dataset / chat.revision / "data"
+    for split in ("train_sft", "test_sft"):
+        spark.createDataFrame([([("user", "a"), ("assistant", split)],)], "messages array<struct<role string, content string>>").coalesce(1).write.parquet(f"{tmp_path}/{split}")
+        top.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / split).glob("*.parquet")).rename(top / f"{split}-00000-of-00001.parquet")
+    other = tmp_path / tools.dataset / tools.revision
+    other.mkdir(parents=True)
+    (other / "func-calling.json").write_text(json.dumps([{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "é"}]}, {"conversations": []}]))
+    (other / "func-calling-singleturn.json").write_text("[1, 2, 3]")
+    monkeypatch.setenv(hub.ROOT_VARIABLE, str(tmp_path))
+    assert [m.content for m in readers.read_source(spark, chat).first().messages] == ["a", "train_sft"]
+    assert "func-calling.json" in " ".join(hub.snapshot_files(spark, tools))
+    done = prepare(spark, tmp_path / "out", tuple(catalogue.override_quotas(catalogue.DEFAULT_SOURCES, [f"{s.name}={int(not s.urls)}" for s in catalogue.DEFAULT_SOURCES])))
+    assert {s["name"]: s["rows"] for s in done["sources"] if s["quota"]} == {"ultrachat": 1, "hermes_func_calling": 1}
+    monkeypatch.delenv(hub.ROOT_VARIABLE)
+    with pytest.raises(Invalid):
+        readers.read_source(spark, chat)
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/datasets.py").write_text("class D:\n    n_shards = 3\n    def __init__(self, k=None): self.k = k\n    def shard(self, num_shards, index): return D(index)\n    def __iter__(self): return iter([{'messages': [{'role': 'user', 'content': str(self.k)}]}] * 2)\ndef load_dataset(name, config=None, *, split, revision, streaming):\n    assert streaming and split == 'train_sft'\n    return D()\n")
+    monkeypatch.syspath_prepend(str(tmp_path / "lib"))
+    spark.sparkContext.addPyFile(str(tmp_path / "lib/datasets.py"))
+    rows = readers.read_source(spark, chat).collect()
+    assert sorted(json.loads(r.raw)["messages"][0]["content"] for r in rows) == ["0", "0", "1", "1", "2", "2"] and len({r.pos for r in rows}) == 6
+
+
+def test_launchers(tmp_path):
+    import subprocess
+    import sys
+
+    from tessera.plans.template import load_template
+
+    done = subprocess.Popen([sys.executable, "-c", "pass"])
+    done.wait()
+    sinks.wait_for(done.pid, 0.1)
+    assert sinks.prepare_command("o", max_length=8, manifest=None)[1:] == ["-m", "tessera.cli", "prepare", "--output", "o", "--max-length", "8"]
+    (tmp_path / "t.jinja").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path / "t.jinja")
+    assert load_template(tmp_path / "t.jinja") == "x" and "<|eot|>" in load_template()
+    for bad in ("link", "none"):
+        with pytest.raises(FileNotFoundError):
+            load_template(tmp_path / bad)
+    sinks.check_launch({"complete": True, "files": [1]}, {"complete": True, "target_tokens": 10**7}, tmp_path / "new")
+    with pytest.raises(FileExistsError):
+        sinks.check_launch(None, None, tmp_path)
+    assert sinks.may_delete_cache(tmp_path / "c", {"source_cache": str(tmp_path / "c")}, tmp_path) and not sinks.may_delete_cache(tmp_path, {"source_cache": str(tmp_path)}, tmp_path)
