@@ -20,7 +20,7 @@ from pyspark.sql import types as ST
 from tessera.functions import text as T
 from tessera.functions.canonical import decode
 from tessera.operators.tokenizers import ByteTokenizer, TokenizerFailure, TokenizerTimeout, batch_encode, one_encode
-from tessera.plans import render
+from tessera.plans import render, template
 from tessera.protocol import IGNORED, Invalid, check_ids
 
 Compiled = tuple[list[int], list[int], list[int]]  # ids, labels, mask
@@ -124,6 +124,39 @@ def compile_rows(df: DataFrame, tokenizer: Any = None, max_length: int | None =
     return source.mapInArrow(run, schema)
 
 
+def rendered_rows(df: DataFrame, form: str = "plan", **options: Any) -> DataFrame:
+    """``df`` (messages_json, tools_json, optional ctrl_json, caps_json, preserve_thinking) with rejection, ``rendered`` and ``learnt``, the number of characters that the model learns.
+
+    ``plan`` is the compiler's own text, ``template`` the text template for trusted payloads. A row that has none is ``invalid``.
+    """
+    added = [("rejection", ST.StringType()), ("rendered", ST.StringType()), ("learnt", ST.IntegerType())]
+    kept = [c for c in df.columns if c not in {n for n, _ in added}]
+    schema = df.select(*kept).schema
+    for name, kind in added:
+        schema = schema.add(name, kind)
+
+    def one(r: dict) -> tuple:
+        try:
+            own = {k.removesuffix("_json"): decode(r[k]) for k in OPTIONS if r.get(k) is not None}
+            own |= {"preserve_thinking": r["preserve_thinking"]} if r.get("preserve_thinking") is not None else {}
+            messages, tools = decode(r["messages_json"]), decode(r["tools_json"] or "[]")
+            if form == "template":
+                text, spans = template.render(messages, tools, **own, **options)
+                return None, text, sum(b - a for a, b in spans)
+            p = render.plan(messages, tools, **own, **options)
+            return None, render.plan_text(p), sum(len(v) for _, v, target in p.fragments if target)
+        except (Invalid, TypeError, ValueError, KeyError, AttributeError, RecursionError):
+            return "invalid", None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select([c for c in ("messages_json", "tools_json", "preserve_thinking", *OPTIONS) if c in kept]).to_pylist()
+            cols = list(zip(*map(one, rows))) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32())))], names=schema.names)
+
+    return df.select(*kept).mapInArrow(run, schema)
+
+
 def fragment_ids(p, ids: dict[str, int] = ByteTokenizer.ids):
     """Byte-tokenizer ids of one fragment, as a Column."""
     table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 def bucketed(df: DataFrame, order: str = "pos", buckets: int = BUCKETS) -> DataFrame:
@@ -36,18 +36,17 @@ def bucketed(df: DataFrame, order: str = "pos", buckets: int = BUCKETS) -> DataF
         return df.withColumn("__b", F.substring(order, 1, 3))
     key = F.col(order) if not kind.startswith("struct") else F.col(order)[df.schema[order].dataType.names[0]]
     cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    # a binary search over the sorted cuts, as an array literal
-    where = F.array_size(F.filter(F.lit(cuts), lambda c: c < key)) if len(cuts) < 2 else bisect(cuts, key)
-    return df.withColumn("__b", where)
+    return df.withColumn("__b", place(sorted(set(cuts or [])), key, dict(df.select(key.alias("k")).dtypes)["k"]))
 
 
-def bisect(cuts: list, key: Column) -> Column:
-    """How many of the sorted ``cuts`` lie under ``key``, in two steps over arrays of about the root of their number."""
+def place(cuts: list, key: Column, kind: str) -> Column:
+    """How many of the sorted numbers ``cuts`` lie under ``key``, in two steps over about the root of their number each."""
+    if not cuts:
+        return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    block = F.size(F.filter(F.lit([b[0] for b in blocks]), lambda c: c < key)) - 1
-    inside = F.size(F.filter(F.element_at(F.lit(blocks), F.greatest(block, F.lit(0)) + 1), lambda c: c < key))
+    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # noqa: E731 - folded to one constant
+    block = F.size(F.filter(literal(cuts[::step]), lambda c: c < key)) - 1
+    inside = F.size(F.filter(F.slice(literal(cuts), F.greatest(block, F.lit(0)) * step + 1, F.lit(step)), lambda c: c < key))
     return F.when(block < 0, 0).otherwise(block * step + inside)
 
 
@@ -90,11 +89,11 @@ def running_before_native(df: DataFrame, value: Column, order: str = "pos") -> D
     return df.withColumn("before", F.coalesce(F.sum(value.cast("bigint")).over(w), F.lit(0)))
 
 
-def decide(rows: DataFrame, accepted: DataFrame | None, quota: int, small: bool = False) -> DataFrame:
+def decide(rows: DataFrame, accepted: DataFrame | None, quota: int | None, small: bool = False) -> DataFrame:
     """Rows (all columns of ``rows``, plus ``outcome``) that the source looks at: 'accepted', 'duplicate' or the rejection.
 
     ``rows`` has unique ``pos``, fingerprint, rejection, target_tokens; ``accepted``
-    the fingerprints of earlier sources.
+    the fingerprints of earlier sources. Without a quota no running sum is taken.
     """
     seen = rows if accepted is None else rows.join(accepted.select("fingerprint", F.lit(True).alias("__seen")), "fingerprint", "left")
     known = F.lit(False) if accepted is None else F.coalesce(F.col("__seen"), F.lit(False))
@@ -103,10 +102,10 @@ def decide(rows: DataFrame, accepted: DataFrame | None, quota: int, small: bool
     first = d.where(good).groupBy("fingerprint").agg(F.min("pos").alias("__first"))
     d = d.join(first, "fingerprint", "left").withColumn("__take", good & F.coalesce(F.col("__first") == F.col("pos"), F.lit(False)))
     tokens = F.when(F.col("__take"), F.col("target_tokens")).otherwise(0)
-    d = running_before_native(d, tokens) if small else running_before(d, tokens)
+    d = d if quota is None else running_before_native(d, tokens) if small else running_before(d, tokens)
     repeat = F.col("__known") | F.coalesce(F.col("__first") < F.col("pos"), F.lit(False))
     outcome = F.when(F.col("__take"), "accepted").when(repeat & F.col("fingerprint").isNotNull(), "duplicate").otherwise(F.col("rejection"))
-    return d.where(F.col("before") < quota).select(*rows.columns, outcome.alias("outcome"))
+    return (d if quota is None else d.where(F.col("before") < quota)).select(*rows.columns, outcome.alias("outcome"))
 
 
 def source_order(names: list[str], seed: int) -> list[str]:

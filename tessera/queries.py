@@ -2,7 +2,7 @@
 
 Every query runs over its whole tables. The test tables hold no tool calls,
 generations or scores, so the queries that need them build them from the columns
-at hand, in both languages alike.
+at hand, in both languages alike. ``tool_queries`` and ``build_queries`` hold more of them.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 from tessera.functions import text as T
 from tessera.operators import adapters, mixture, precompiled
 from tessera.operators.compile import byte_compiled, compile_rows, token_counts
-from tessera.operators.tokenizers import ByteTokenizer, TrieTokenizer
+from tessera.operators.tokenizers import ByteTokenizer
 from tessera.plans import render
-from tessera.protocol import MARKERS, MODEL_ROLE
+from tessera.protocol import MODEL_ROLE
 from tessera.sources import readers
 from tessera.sources.scratch import folder, saver
 from tessera.streaming import ingest
@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.scan(spark, [f"{sf_dir}/{name}.parquet"])
 
 
 # --- conversations: render, count, compile ------------------------------------
@@ -114,6 +114,11 @@ def compiled_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The general route: message JSON through the Arrow compiler."""
     m = message_json(table(spark, sf_dir, "conversations"))
     c = compile_rows(m.withColumn("tools_json", F.lit("[]")), ByteTokenizer(), max_length=None)
+    return weighted_ids(c)
+
+
+def weighted_ids(c: DataFrame) -> DataFrame:
+    """Counts of compiled conversations, with a sum that weighs each id by its place."""
     weighted = F.aggregate(F.transform("input_ids", lambda x, i: (i + 1) * x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
     return c.select("conv_id", F.size("input_ids").cast("bigint").alias("n_tokens"), "target_tokens", weighted.alias("weighted"))
 
@@ -160,8 +165,10 @@ def canonical_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select sha256(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
-    return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """The mixture's rule without a quota: the first of each content is accepted, the others are its copies."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.sha2("text", 256).alias("fingerprint"), F.lit(None).cast("string").alias("rejection"), F.lit(1).alias("target_tokens"))
+    done = mixture.decide(d, None, None)
+    return done.groupBy("fingerprint").agg(F.min(F.when(F.col("outcome") == "accepted", F.col("pos"))).alias("doc_id"), F.count("*").alias("copies"))
 
 
 #: Sources of the mixture over documents (by language), in order, with their quotas in bytes.
@@ -169,18 +176,22 @@ QUOTAS = {"de": 200_000, "en": 600_000, "es": 10**12, "fr": 150_000}
 REASON = "case when octet_length({b}) > 8000 then 'too_long' when text not like '% %' then 'no_target' end"
 
 
-def mixture_sql() -> str:
-    parts = [f"d as (select doc_id as pos, lang, sha256(text) as fingerprint, octet_length(encode(text)) as target_tokens, {REASON.format(b='encode(text)')} as rejection from documents)", "a as (select '' as fingerprint where false)"]
+BASE = f"select doc_id as pos, lang as source, sha256(text) as fingerprint, octet_length(encode(text)) as target_tokens, {REASON.format(b='encode(text)')} as rejection from documents"
+
+
+def mixture_sql(base: str = BASE, quotas: dict[str, int] = QUOTAS, more: str = "") -> str:
+    """CTEs up to ``o``, the outcomes of ``base`` (pos, source, fingerprint, target_tokens, rejection and the columns ``more``), sources in the quotas' order."""
+    parts = [f"d as ({base})", "a as (select '' as fingerprint where false)"]
     before = "a"
-    for s, quota in QUOTAS.items():
-        parts.append(f"k_{s} as (select *, fingerprint in (select fingerprint from {before}) as known from d where lang = '{s}')")
+    for s, quota in quotas.items():
+        parts.append(f"k_{s} as (select *, fingerprint in (select fingerprint from {before}) as known from d where source = '{s}')")
         parts.append(f"f_{s} as (select *, min(case when rejection is null and not known then pos end) over (partition by fingerprint) as first from k_{s})")
         parts.append(f"r_{s} as (select *, rejection is null and not known and first = pos as take from f_{s})")
         parts.append(f"b_{s} as (select *, coalesce(sum(case when take then target_tokens else 0 end) over (order by pos rows between unbounded preceding and 1 preceding), 0) as before from r_{s})")
-        parts.append(f"o_{s} as (select '{s}' as source, pos, fingerprint, target_tokens, case when take then 'accepted' when known or coalesce(first < pos, false) then 'duplicate' else rejection end as outcome from b_{s} where before < {quota})")
+        parts.append(f"o_{s} as (select source, pos, fingerprint, target_tokens{more}, case when take then 'accepted' when known or coalesce(first < pos, false) then 'duplicate' else rejection end as outcome from b_{s} where before < {quota})")
         parts.append(f"a_{s} as (select fingerprint from {before} union all select fingerprint from o_{s} where outcome = 'accepted')")
         before = f"a_{s}"
-    return "with " + ",\n".join(parts) + ", o as (" + " union all ".join(f"select * from o_{s}" for s in QUOTAS) + ")"
+    return "with " + ",\n".join(parts) + ", o as (" + " union all ".join(f"select * from o_{s}" for s in quotas) + ")"
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,16 +240,6 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42)
 
 
-@query("""select case when octet_length(encode(text)) > 20000 then 'oversized_bytes' when length(text) > 10000 then 'oversized_text' when length(text) < 100 then 'short' else 'ok' end as bucket, 'documents' as kind, count(*) as n from documents group by all
-union all select case when octet_length(encode(html)) > 20000 then 'oversized_bytes' when length(html) > 10000 then 'oversized_text' when length(html) < 100 then 'short' else 'ok' end, 'pages', count(*) from pages group by all""")
-def size_and_length_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def sized(name: str, c: str) -> DataFrame:
-        b = F.when(F.octet_length(c) > 20000, "oversized_bytes").when(F.length(c) > 10000, "oversized_text").when(F.length(c) < 100, "short").otherwise("ok")
-        return table(spark, sf_dir, name).select(b.alias("bucket"), F.lit(name).alias("kind"))
-
-    return sized("documents", "text").unionByName(sized("pages", "html")).groupBy("bucket", "kind").agg(F.count("*").alias("n"))
-
-
 # --- adapters -------------------------------------------------------------------
 
 STRIP = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
@@ -298,42 +299,6 @@ def tool_call_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.adapt(e.select("event_id", m.alias("messages")), "nemotron", ("event_id",)).select("event_id", "rejection", "messages_json")
 
 
-XML = "'a<tool_call> {\"n\":1, \"e\":\"' || event_type || '\"} </tool_call>b<tool_call>' || props || '</tool_call> '"
-
-
-@query("""select event_id, cast(n as integer) as n, case n when 0 then '{"n":1, "e":"' || event_type || '"}' else trim(props) end as block, 'ab' as rest from events, (values (0), (1)) v(n)""")
-def tool_xml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.expr(XML).alias("t"))
-    e = e.select("event_id", F.posexplode(T.tagged_blocks(F.col("t"), "tool_call")).alias("n", "block"), T.without_blocks(F.col("t"), "tool_call").alias("rest"))
-    return e.select("event_id", "n", "block", "rest")
-
-
-LINKS = """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) - 1 as n from events where event_type <> 'purchase'),
-r as (select event_id, user_id, row_number() over (partition by user_id order by event_id) - 1 as n from events where event_type = 'purchase')"""
-
-
-@query(LINKS + " select r.user_id, r.event_id as response_id, c.event_id as call_id, coalesce(c.event_id < r.event_id, false) as valid from r left join c on r.user_id = c.user_id and r.n = c.n")
-def tool_link_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-th response of a user answers the n-th call, if that came before."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "purchase").alias("answer"))
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "answer").orderBy("event_id")))
-    w = Window.partitionBy("user_id", "n")
-    e = e.withColumn("call_id", F.max(F.when(~F.col("answer"), F.col("event_id"))).over(w)).where("answer")
-    return e.select("user_id", F.col("event_id").alias("response_id"), "call_id", F.coalesce(F.col("call_id") < F.col("event_id"), F.lit(False)).alias("valid"))
-
-
-@query("""with e as (select *, event_type || '-' || (event_id % 50) as call_id, event_type in ('click', 'view', 'purchase') as declared from events),
-k as (select *, count(*) over (partition by user_id, call_id) > 1 as repeated, min(event_id) over (partition by user_id, call_id) = event_id as first_use from e)
-select event_id, user_id, call_id, case when not declared then 'undeclared' when repeated and not first_use then 'duplicate_id' else 'ok' end as verdict from k""")
-def tool_reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls must name declared tools and not reuse an id within a conversation (here: a user)."""
-    e = table(spark, sf_dir, "events").withColumn("call_id", F.concat("event_type", F.lit("-"), (F.col("event_id") % 50).cast("string")))
-    names = F.array(*[F.lit(x) for x in ("click", "view", "purchase")])
-    first = F.min("event_id").over(Window.partitionBy("user_id", "call_id")) == F.col("event_id")
-    verdict = F.when(~F.array_contains(names, F.col("event_type")), "undeclared").when(~first, "duplicate_id").otherwise("ok")
-    return e.select("event_id", "user_id", "call_id", verdict.alias("verdict"))
-
-
 # --- compiled rows ----------------------------------------------------------------
 
 
@@ -348,29 +313,4 @@ def precompiled_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return precompiled.validate(d, ByteTokenizer.size, 10**9, strict=False).select("conv_id", "fault")
 
 
-def small_vocabulary() -> TrieTokenizer:
-    words = ["<unk>", *"abcdefghijklmnopqrstuvwxyz .,", "th", "the", "er", "en", "in", "ing", "tion", "and", "an", "le", "la", "ent", "que"]
-    return TrieTokenizer({w: i for i, w in enumerate(words)}, "<unk>", 1000, {m: 1001 + i for i, m in enumerate(MARKERS.values())})
-
-
-@query()
-def wordpiece_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines as pieces; a line with any character outside the vocabulary is one unknown."""
-    import pyarrow as pa
-
-    tokenizer = small_vocabulary()
-
-    def run(batches):
-        for b in batches:
-            found = [tokenizer.encode_batch((t or "").lower().split("\n")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[i for line in d for i in line] for d in found], pa.list_(pa.int32()))], names=["doc_id", "input_ids"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, input_ids array<int>")
-
-
-@query()
-def bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of all conversations; one over 4096 ids is a bin of its own with the fault too_long."""
-    c = byte_compiled(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    p = precompiled.pack(c, "conv_id", 4096)
-    return p.groupBy("bin_id", "fault").agg(F.count("*").alias("segments"), F.sum(F.size("input_ids")).alias("used"))
+from tessera import build_queries, tool_queries  # noqa: E402, F401 - they register more queries here

@@ -33,6 +33,23 @@ def test_others_run(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_longest_match_against_a_loop(spark, data):
+    from tessera.build_queries import VOCABULARY
+    import base64
+
+    with open(VOCABULARY, "rb") as f:
+        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    longest = max(map(len, ids))
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in QUERIES["wordpiece_longest_match"](spark, data).collect():
+        raw, at, want = text[r.doc_id], 0, []
+        while at < len(raw):
+            size = next(n for n in range(min(longest, len(raw) - at), 0, -1) if raw[at : at + n] in ids)
+            want.append(ids[raw[at : at + size]])
+            at += size
+        assert list(r.input_ids) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
