@@ -41,7 +41,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ATT = 8, 12, 8
 BUCKETS, MAX_WORDS, MIN_SEEN = 8192, 6000, 3
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
-BLOCK, SLICE = 4096, 4_000_000
+BLOCK, WORDS, SLICE = 1024, 1 << 16, 4_000_000
 MIN_STEPS, CLEAN_LOSS = 300, 0.05
 
 
@@ -121,74 +121,101 @@ class Model:
     def inputs(self, vocab: pa.Array) -> np.ndarray:
         """Projected gate inputs [words + 1, 2, 3H] of each word; the last row pads."""
         codes, start = trigram_codes(vocab)
-        n = np.maximum(np.diff(start), 1)[:, None].astype(np.float32)
+        rows = self.word_ids(vocab)
         out = np.zeros((len(vocab) + 1, 2, 3 * HIDDEN), np.float32)
-        if len(vocab):
-            padded = np.concatenate([self.p["Ec"][codes], np.zeros((1, DIM), np.float32)])  # an entry without trigrams, which no text uses, may come last
-            x = np.add.reduceat(padded, start[:-1], axis=0) / n + self.p["Ew"][self.word_ids(vocab)]
+        for lo in range(0, len(vocab), WORDS):
+            cut = start[lo : lo + WORDS + 1]
+            x = self.vectors(codes[cut[0] : cut[-1]], np.diff(cut), rows[lo : lo + WORDS])
             for k, d in enumerate("fb"):
-                out[:-1, k] = x @ self.p[f"W{d}"] + self.p[f"B{d}"]
+                out[lo : lo + len(x), k] = x @ self.p[f"W{d}"] + self.p[f"B{d}"]
         return out
 
+    def vectors(self, tri: np.ndarray, count: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Word vector plus mean trigram vector of words with ``count`` trigrams each."""
+        mean = sum_rows(np.repeat(np.arange(len(count)), count), self.p["Ec"][tri], len(count)) / np.maximum(count, 1)[:, None]
+        return (mean + self.p["Ew"][rows]).astype(np.float32)
+
     def score(self, table: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Logit of each window; windows run in blocks that stay in cache."""
-        pad = len(table) - 1
-        codes = np.concatenate([codes.astype(np.int64), np.full(WINDOW, pad)])
+        """Logit of each window; windows of like length run in blocks that stay in cache."""
+        codes = np.concatenate([codes.astype(np.int64), np.full(WINDOW, len(table) - 1)])
+        gates = gate_major(table)
         out = np.empty(len(start), np.float32)
+        order = np.argsort(-length, kind="stable")
         for lo in range(0, len(start), BLOCK):
-            s, n = start[lo : lo + BLOCK], length[lo : lo + BLOCK]
-            at = codes[s[None, :] + np.arange(WINDOW)[:, None]]
-            at[np.arange(WINDOW)[:, None] >= n[None, :]] = pad
-            out[lo : lo + BLOCK] = self.forward(table, at, n)[0]
+            b = order[lo : lo + BLOCK]
+            out[b] = self.forward(gates, codes[start[b][None, :] + np.arange(length[b[0]])[:, None]], length[b])[0]
         return out
 
-    def forward(self, table: np.ndarray, at: np.ndarray, n: np.ndarray, keep: bool = False):
-        """Logits of time-major windows ``at`` [T, B]; with ``keep`` also what the gradient needs."""
-        p, (T, B), H = self.p, at.shape, HIDDEN
-        hs = np.zeros((T, B, 2 * H), np.float32)
-        mask = np.arange(T)[:, None] < n[None, :]
-        trace = {}
+    def recurrent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The recurrent weights of reset, update and candidate over both directions at once, each [2H, 2H] of two blocks."""
+        H = HIDDEN
+        both = np.zeros((3, 2 * H, 2 * H), np.float32)
         for k, d in enumerate("fb"):
-            U = p[f"U{d}"]
-            Urz, Uc = np.ascontiguousarray(U[:, : 2 * H]), np.ascontiguousarray(U[:, 2 * H :])
-            h = np.zeros((B, H), np.float32)
-            gates = table[:, k]
-            steps = []
-            for t in range(T) if d == "f" else range(T - 1, -1, -1):
-                x = gates[at[t]]
-                rz = x[:, : 2 * H] + h @ Urz
-                rz *= 0.5
-                np.tanh(rz, out=rz)
-                rz += 1
-                rz *= 0.5
-                r, z = rz[:, :H], rz[:, H:]
-                c = np.tanh(x[:, 2 * H :] + (r * h) @ Uc)
-                new = h + z * (c - h)
-                if not mask[t].all():
-                    new = np.where(mask[t][:, None], new, h)
-                if keep:
-                    steps.append((t, h, r, z, c))
-                h = new
-                hs[t, :, k * H : (k + 1) * H] = h
-            trace[d] = steps
-        q = np.tanh(hs.reshape(T * B, 2 * H) @ p["A"] + p["a"])
-        e = (q @ p["v"]).reshape(T, B)
-        e = np.where(mask, e, -30)
+            for g in range(3):
+                both[g, k * H : (k + 1) * H, k * H : (k + 1) * H] = self.p[f"U{d}"][:, g * H : (g + 1) * H]
+        return both[0], both[1], both[2]
+
+    def forward(self, gates: np.ndarray, at: np.ndarray, n: np.ndarray, keep: bool = False):
+        """Logits of time-major windows ``at`` [T, B]; with ``keep`` also what the gradient needs.
+
+        Both directions run in one loop on [B, 2H], the backward one over each window read from
+        its end. What comes after a window's end follows all of its words and has no weight in
+        the pooling, so it needs no masking on the way.
+        """
+        p, (T, B), H = self.p, at.shape, HIDDEN
+        step = np.arange(T)[:, None]
+        mask = step < n[None, :]
+        flip = slice(None, None, -1) if mask[-1].all() else (np.where(mask, n[None, :] - 1 - step, step), np.arange(B))
+        rows = np.empty((T, B, 2), np.intp)
+        np.multiply(at, 2, out=rows[:, :, 0])
+        np.multiply(at[flip], 2, out=rows[:, :, 1])
+        rows[:, :, 1] += 1
+        Ur, Uz, Uc = self.recurrent()
+        Ur, Uz, Uc = 0.5 * Ur, 0.5 * Uz, 0.5 * Uc  # a gate is (1 + tanh(x / 2)) / 2
+        hs = np.zeros((T + 1, B, 2 * H), np.float32)
+        kept = np.empty((3, T if keep else 1, B, 2 * H), np.float32)
+        x = np.empty((B, 2, H), np.float32)
+        flat = x.reshape(B, 2 * H)
+        for t in range(T):
+            h, (r, z, c) = hs[t], kept[:, t if keep else 0]
+            np.take(gates[0], rows[t], 0, x, "clip")
+            np.matmul(h, Ur, out=r)
+            r += flat
+            np.tanh(r, out=r)
+            np.take(gates[1], rows[t], 0, x, "clip")
+            np.matmul(h, Uz, out=z)
+            z += flat
+            np.tanh(z, out=z)
+            np.take(gates[2], rows[t], 0, x, "clip")
+            new = r * h
+            new += h
+            np.matmul(new, Uc, out=c)
+            c += flat
+            np.tanh(c, out=c)
+            np.subtract(c, h, out=new)
+            np.add(z, 1, out=flat)
+            new *= flat
+            new *= 0.5
+            np.add(new, h, out=hs[t + 1])
+        both = hs[1:].copy()
+        both[:, :, H:] = hs[1:, :, H:][flip]
+        q = np.tanh(both.reshape(T * B, 2 * H) @ p["A"] + p["a"])
+        e = np.where(mask, (q @ p["v"]).reshape(T, B), -30)
         w = np.exp(e - e.max(0))
         w *= mask
         w /= w.sum(0)
-        ctx = np.einsum("tb,tbh->bh", w, hs, optimize=False)
-        logit = ctx @ p["o"] + p["c"][0]
-        return logit, (hs, mask, trace, q.reshape(T, B, -1), w, ctx) if keep else None
+        ctx = np.einsum("tb,tbh->bh", w, both, optimize=False)
+        return ctx @ p["o"] + p["c"][0], (hs[:-1], both, mask, flip, kept, q.reshape(T, B, -1), w, ctx) if keep else None
 
     def gradient(self, vocab_parts, at: np.ndarray, n: np.ndarray, y: np.ndarray, wt: np.ndarray) -> tuple[dict, float]:
-        """Gradient of the weighted mean log loss; ``vocab_parts`` = (vectors, word rows, trigrams, starts) of the block's words."""
+        """Gradient of the weighted mean log loss; ``vocab_parts`` = (vectors, word rows, trigrams, starts) of the block's words, of which -1 in ``at`` is none."""
         p, (T, B), H = self.p, at.shape, HIDDEN
         x, rows, tri, start = vocab_parts
         table = np.zeros((len(x) + 1, 2, 3 * H), np.float32)
         for k, d in enumerate("fb"):
             table[:-1, k] = x @ p[f"W{d}"] + p[f"B{d}"]
-        logit, (hs, mask, trace, q, w, ctx) = self.forward(table, at, n, keep=True)
+        at = np.where(at < 0, len(x), at)
+        logit, (before, both, mask, flip, (r, z, c), q, w, ctx) = self.forward(gate_major(table), at, n, keep=True)
         prob = sigmoid(logit)
         total = max(float(wt.sum()), 1e-6)
         loss = -float((wt * (y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7))).sum()) / total
@@ -197,44 +224,64 @@ class Model:
         g["o"], g["c"] = ctx.T @ do, np.array([do.sum()], np.float32)
         dctx = do[:, None] * p["o"]
         dhs = w[:, :, None] * dctx
-        dw = np.einsum("tbh,bh->tb", hs, dctx)
+        dw = np.einsum("tbh,bh->tb", both, dctx)
         de = w * (dw - (w * dw).sum(0))
         dq = de[:, :, None] * p["v"] * (1 - q * q)
         g["v"] = np.einsum("tb,tba->a", de, q)
         flat = dq.reshape(T * B, -1)
-        g["A"], g["a"] = hs.reshape(T * B, -1).T @ flat, flat.sum(0)
-        dhs += (flat @ p["A"].T).reshape(T, B, -1)
-        dtable = np.zeros_like(table)
+        g["A"], g["a"] = both.reshape(T * B, -1).T @ flat, flat.sum(0)
+        dhs = (dhs + (flat @ p["A"].T).reshape(T, B, -1)).astype(np.float32)
+        dhs[:, :, H:] = dhs[:, :, H:][flip].copy()
+        Ur, Uz, Uc = (np.ascontiguousarray(u.T) for u in self.recurrent())
+        by_r, by_z, by_c = before * (1 - r * r) * 0.25, (c - before) * (1 - z * z) * 0.25, (0.5 + 0.5 * z) * (1 - c * c)
+        r, stay = 0.5 + 0.5 * r, 0.5 - 0.5 * z
+        dx = np.empty((3, T, B, 2 * H), np.float32)
+        dh = np.zeros((B, 2 * H), np.float32)
+        for t in range(T - 1, -1, -1):
+            dh += dhs[t]
+            np.multiply(dh, by_z[t], out=dx[1, t])
+            np.multiply(dh, by_c[t], out=dx[2, t])
+            drh = dx[2, t] @ Uc
+            np.multiply(drh, by_r[t], out=dx[0, t])
+            drh *= r[t]
+            dh *= stay[t]
+            dh += drh
+            dh += dx[0, t] @ Ur
+            dh += dx[1, t] @ Uz
         for k, d in enumerate("fb"):
-            U = p[f"U{d}"]
-            dU, dh = np.zeros_like(U), np.zeros((B, H), np.float32)
-            dx = np.zeros((T, B, 3 * H), np.float32)
-            for t, h, r, z, c in reversed(trace[d]):
-                dh = dh + dhs[t, :, k * H : (k + 1) * H]
-                live = mask[t][:, None]
-                dnew = dh * live
-                dz = dnew * (c - h) * z * (1 - z)
-                dc = dnew * z * (1 - c * c)
-                drh = dc @ U[:, 2 * H :].T
-                dr = drh * h * r * (1 - r)
-                dx[t] = np.concatenate([dr, dz, dc], 1)
-                dU[:, : 2 * H] += h.T @ dx[t][:, : 2 * H]
-                dU[:, 2 * H :] += (r * h).T @ dc
-                dh = dh * ~live + dnew * (1 - z) + drh * r + dx[t][:, : 2 * H] @ U[:, : 2 * H].T
-            g[f"U{d}"] = dU
-            ids = at.ravel()
-            order = np.argsort(ids, kind="stable")
-            cut = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            dtable[ids[order][cut], k] += np.add.reduceat(dx.reshape(T * B, -1)[order], cut, axis=0)
-        dv = np.zeros_like(x)
+            side = slice(k * H, (k + 1) * H)
+            h = before[:, :, side].reshape(T * B, H)
+            rh = (r[:, :, side] * before[:, :, side]).reshape(T * B, H)
+            part = [dx[i, :, :, side].reshape(T * B, H) for i in range(3)]
+            g[f"U{d}"] = np.concatenate([h.T @ part[0], h.T @ part[1], rh.T @ part[2]], 1)
+        for part in dx:
+            part[:, :, H:] = part[:, :, H:][flip].copy()
+        ids = at.ravel()
+        word = np.concatenate([x, np.zeros((1, DIM), x.dtype)])[ids]
+        dword = np.zeros((T * B, DIM), np.float32)
         for k, d in enumerate("fb"):
-            g[f"W{d}"], g[f"B{d}"] = x.T @ dtable[:-1, k], dtable[:-1, k].sum(0)
-            dv += dtable[:-1, k] @ p[f"W{d}"].T
+            side = np.concatenate([dx[i, :, :, k * H : (k + 1) * H].reshape(T * B, H) for i in range(3)], 1)
+            g[f"W{d}"], g[f"B{d}"] = word.T @ side, side.sum(0)
+            dword += side @ p[f"W{d}"].T.astype(np.float32)
+        dv = sum_rows(ids, dword, len(x) + 1)[:-1]
         m = np.maximum(np.diff(start), 1)
         g["Ew"], g["Ec"] = (rows, dv), (tri, np.repeat(dv / m[:, None], np.diff(start), axis=0))
         return g, loss
 
 
+def gate_major(table: np.ndarray) -> np.ndarray:
+    """Gate inputs [words, 2, 3H] as three tables of rows (word, direction), those of the two gates halved."""
+    out = np.ascontiguousarray(table.reshape(len(table), 2, 3, HIDDEN).transpose(2, 0, 1, 3)).reshape(3, 2 * len(table), HIDDEN)
+    out[:2] *= 0.5
+    return out
+
+
+def sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each index, [n, columns]."""
+    columns = np.ascontiguousarray(rows.T, np.float64)
+    return np.stack([np.bincount(at, c, n) for c in columns], 1).astype(np.float32)
+
+
 class Adam:
     """Adam; embedding tables are updated on the touched rows only."""
 
@@ -247,10 +294,8 @@ class Adam:
         fix = np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, v in g.items():
             if isinstance(v, tuple):
-                order = np.argsort(v[0], kind="stable")
-                ids = v[0][order]
-                cut = np.flatnonzero(np.diff(ids, prepend=-1))
-                at, v = ids[cut], np.add.reduceat(v[1][order], cut, axis=0)
+                at = np.flatnonzero(np.bincount(v[0], minlength=len(self.p[k])))
+                v = sum_rows(v[0], v[1], len(self.p[k]))[at]
             else:
                 at = slice(None)
             self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * v
@@ -284,9 +329,10 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
     each = -(-(bad + min(len(train) - bad, 2 * bad)) // size)
     epochs = max(epochs, -(-MIN_STEPS // max(each, 1)))
     warm = epochs * 2 // 9
+    score, place = np.full(len(row), -30, np.float32), np.empty(len(w.vocab) + 1, np.int64)
     for epoch in range(epochs):
         if epoch >= warm:
-            score = model.score(model.inputs(w.vocab), w.codes, start, length)
+            score[train] = model.score(model.inputs(w.vocab), w.codes, start[train], length[train])
             best = highest(score, row, len(texts))
             sure = (score >= 0) | (score >= best[row])
             weight = np.where((y == 0) | sure, 1, 0).astype(np.float32)
@@ -305,15 +351,15 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 9, seed: int = 7) ->
             b = use[lo : lo + size]
             at = codes[start[b][None, :] + np.arange(WINDOW)[:, None]]
             at[np.arange(WINDOW)[:, None] >= length[b][None, :]] = -1
-            ids, at = np.unique(at, return_inverse=True)
-            at = at.reshape(WINDOW, len(b))
-            if ids[0] < 0:
-                ids, at = ids[1:], np.where(at == 0, len(ids) - 1, at - 1)
+            place[:] = -1
+            place[at] = 0
+            ids = np.flatnonzero(place[:-1] == 0)
+            place[ids], place[-1] = np.arange(len(ids)), -1
             count = np.diff(tri_start)[ids]
             sub = np.concatenate([[0], np.cumsum(count)])
             t = tri[np.arange(sub[-1]) - np.repeat(sub[:-1], count) + np.repeat(tri_start[ids], count)]
-            x = np.add.reduceat(model.p["Ec"][t], sub[:-1], axis=0) / np.maximum(count, 1)[:, None] + model.p["Ew"][word_rows[ids]]
-            grad, _ = model.gradient((x.astype(np.float32), word_rows[ids], t, sub), at, length[b], y[b], weight[b])
+            x = model.vectors(t, count, word_rows[ids])
+            grad, _ = model.gradient((x, word_rows[ids], t, sub), place[at], length[b], y[b], weight[b])
             adam.step(grad)
     best = highest(model.score(model.inputs(w.vocab), w.codes, start, length), row, len(texts))
     model.threshold = max(0.0, choose_threshold(best[held], toxic[held]) if held.any() else choose_threshold(best, toxic))
