@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
         print(rows.agg(F.count("input_ids")).first()[0])
         return 0
     keyed = rows.withColumn("row_id", F.sha2(F.concat_ws(",", "input_ids"), 256))
-    (keyed.select("row_id", "input_ids", "labels") if a.no_packing else pack(keyed, "row_id", a.max_length)).write.parquet(a.packed)
+    (keyed.select("row_id", "input_ids", "labels") if a.no_packing else pack(keyed, "row_id", a.max_length).repartition("bin_id").sortWithinPartitions("bin_id", "seg_no")).write.parquet(a.packed)
     storage.write_text(spark, f"{a.packed}/_chat_template.txt", template)
     return 0
 

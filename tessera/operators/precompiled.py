@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -133,27 +133,160 @@ def best_fit(lengths: list[int], size: int) -> list[int]:
 PACKED = "bin_id string, seg_no int, row_id string, input_ids array<int>, labels array<int>, position_ids array<int>, fault string"
 
 
-#: Ids that a packing task holds at a time; a bin never crosses such a group.
-GROUP_TOKENS = 16_000_000
+def fit_counts(counts: Mapping[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The bins of ``best_fit`` for ``counts[n]`` items of each length n, as pieces, and their number.
 
-
-def pack(df: DataFrame, row_id: str, max_length: int = 2048, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    A piece (n, rank, bin, each, seg) says: of the items of length n, from the ``rank``-th on, ``each`` go to ``bin``, as its
+    segments ``seg`` and on, as many to the next bin and so on, up to the next piece of n. Bins of consecutive
+    numbers and the same content are one run, so the work and the result depend on ``size``, not on the number of items.
+    """
+    open_: dict[int, list[tuple[int, int, int]]] = {}  # by free space: runs (first bin, bins, segments in each)
+    rooms: list[int] = []
+    pieces, bins = [], 0
+
+    def put(room: int, run: tuple[int, int, int]) -> None:
+        if room and run[1]:
+            if room not in open_:
+                insort(rooms, room)
+                open_[room] = []
+            insort(open_[room], run)
+
+    for n in sorted((n for n in counts if counts[n]), reverse=True):
+        left = counts[n]
+        while left:
+            at = bisect_left(rooms, n)
+            if at == len(rooms):
+                room, runs = size, [(bins, -(-left // (size // n)), 0)]
+                bins += runs[0][1]
+            else:
+                room = rooms.pop(at)
+                runs = open_.pop(room)
+            each = room // n  # an item that leaves room for another is followed by it: no other bin fits better
+            for first, many, seg in runs:
+                full, rest = divmod(min(left, many * each), each)
+                if left:
+                    pieces.append((n, counts[n] - left, first, each, seg))
+                left -= full * each + rest
+                put(room - each * n, (first, full, seg + each))
+                put(room - rest * n, (first + full, min(1, rest), seg + rest))
+                used = full + min(1, rest)
+                put(room, (first + used, many - used, seg))
+    return pieces, bins
+
+
+#: Ranges of row ids by which rows are numbered, and ids drawn to cut them.
+RANGES, DRAWN = 256, 16_384
+#: Ids and rows of an output batch.
+BATCH_IDS, BATCH_ROWS = 1_000_000, 1024
+
+
+def pack(df: DataFrame, row_id: str, max_length: int = 2048, group_tokens: int | None = None) -> DataFrame:
     """Pack rows into bins of at most ``max_length`` ids by best-fit decreasing. Every row comes back once.
 
     A row that fits no bin is returned whole with a ``fault``, as ``fault()`` names it:
     ``too_long`` in a bin of its own, which is over ``max_length``; ``empty`` and
     ``missing`` (null ids) in no bin. ``fault`` is null for packed rows.
 
-    Rows are spread over groups by a hash of their id, as many groups as the table has
-    ``group_tokens`` ids, and packed inside each, so packing is parallel; a group's loss
-    against one global packing is under one bin. A task holds one group as Arrow arrays, and
-    a group that grows beyond twice its size (one id repeated over and over) is packed in
-    pieces of the order (row id, ids). So bins depend on the rows and on ``group_tokens``
-    alone, not on partitions or settings. Each segment's position ids start at 0, which
-    marks where a recurrent state begins anew.
+    The bins are those of ``best_fit`` over all rows in the order (row id, ids, labels), at any size of the table, and
+    depend on the rows alone, not on partitions or settings. They follow from the number of rows of each length
+    (``fit_counts``) and a row's rank among those of its length, for which rows are counted by length and range of
+    row ids; a task streams its ranges in order and holds none of them. With ``group_tokens``
+    rows are spread over groups of about so many ids by a hash of their row id instead and packed inside each, as
+    pieces of at most twice that. Each segment's position ids start at 0, which marks where a recurrent state begins anew.
     """
-    ids, names = F.col("input_ids").cast("array<int>"), [c.split()[0] for c in PACKED.split(", ")]
-    total = df.agg(F.sum(F.size("input_ids").cast("bigint"))).first()[0] or 0
+    size = F.size("input_ids")
+    wrong = F.when(F.col("input_ids").isNull(), "missing").when(size == 0, "empty").when(size > max_length, "too_long").alias("fault")
+    ids, labels = (F.col(c).cast("array<int>").alias(c) for c in ("input_ids", "labels"))
+    rows = df.select(F.coalesce(size, F.lit(0)).alias("n"), F.col(row_id).cast("string").alias("row_id"), ids, labels, wrong)
+    return packed_whole(rows, max_length) if group_tokens is None else packed_groups(rows, max_length, group_tokens)
+
+
+def batch_of(part: pa.RecordBatch | pa.Table, bins: list[str | None], seg: list[int | None]) -> Iterator[pa.RecordBatch]:
+    """Rows (n, row_id, input_ids, labels, fault) with their bins and segments, as PACKED."""
+    lengths = np.maximum(part.column("n").to_numpy(), 0)
+    lo = 0
+    while lo < len(lengths):
+        hi = min(len(lengths), lo + BATCH_ROWS, lo + 1 + int(np.searchsorted(np.cumsum(lengths[lo:]), BATCH_IDS)))
+        cut, sizes = part.slice(lo, hi - lo), lengths[lo:hi]
+        ends = np.cumsum(sizes)
+        starts = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(ends - sizes, sizes)
+        mask = pa.array([b is None for b in bins[lo:hi]])
+        positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(starts.astype(np.int32)), mask=mask)
+        cols = [pa.array(bins[lo:hi], pa.string()), pa.array(seg[lo:hi], pa.int32()), cut.column("row_id"), cut.column("input_ids"), cut.column("labels"), positions, cut.column("fault")]
+        yield from pa.table(cols, names=[c.split()[0] for c in PACKED.split(", ")]).combine_chunks().to_batches()
+        lo = hi
+
+
+def range_of(cuts: list[str], key: Column) -> Column:
+    """How many of the sorted texts ``cuts`` are not over ``key``, in two steps over about the root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    under = lambda c: F.coalesce(c <= key, F.lit(False))
+    block = F.size(F.filter(F.lit(cuts[::step]), under)) - 1
+    inside = F.size(F.filter(F.slice(F.lit(cuts), F.greatest(block, F.lit(0)) * step + 1, F.lit(step)), under))
+    return F.when(block < 0, 0).otherwise(block * step + inside)
+
+
+def packed_whole(rows: DataFrame, max_length: int) -> DataFrame:
+    """One best-fit decreasing packing over all rows."""
+    drawn = sorted(r[0] for r in rows.where("row_id is not null").select("row_id").orderBy(F.rand(0)).limit(DRAWN).collect())
+    cuts = sorted({drawn[len(drawn) * k // RANGES] for k in range(1, RANGES)} if drawn else [])
+    ranged = rows.withColumn("g", range_of(cuts, F.col("row_id")))
+    key = F.when(F.col("n") <= 0, -1).when(F.col("n") > max_length, 0).otherwise(F.col("n"))  # no filter, which would compile each row twice
+    counted = ranged.groupBy("g", key.alias("n")).agg(F.count("*").alias("many")).toArrow()
+    g, n, many = (counted.column(c).to_numpy().astype(np.int64) for c in ("g", "n", "many"))
+    g, n, many = g[n >= 0], n[n >= 0], many[n >= 0]
+    order = np.lexsort((g, n))
+    g, n, many = g[order], n[order], many[order]
+    firsts = np.flatnonzero(np.diff(n, prepend=-1))  # where each length begins
+    before = np.cumsum(many) - many
+    before -= np.repeat(before[firsts], np.diff(firsts, append=len(n)))  # rows of that length in lesser ranges; length 0 stands for those too long
+    pieces, bins = fit_counts({int(n[a]): int(x) for a, x in zip(firsts, np.add.reduceat(many, firsts)) if n[a]} if len(n) else {}, max_length)
+    table = np.array(pieces, np.int64).reshape(-1, 5)
+    by_range = np.argsort(g, kind="stable")
+    g, n, before = g[by_range], n[by_range], before[by_range]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = -table[:, 0]  # ascending
+        known: dict[int, tuple[list[int], list[list[int]]]] = {}
+        now, rank = None, {}
+
+        def of(length: int) -> tuple[list[int], list[list[int]]]:
+            if length not in known:
+                mine = table[np.searchsorted(lengths, -length) : np.searchsorted(lengths, -length, side="right")]
+                known[length] = mine[:, 1].tolist(), mine.tolist()
+            return known[length]
+
+        for batch in batches:
+            found, seg = [], []
+            for at, length, why in zip(batch.column("g").to_pylist(), batch.column("n").to_pylist(), batch.column("fault").to_pylist()):
+                if at != now:
+                    lo, hi = np.searchsorted(g, [at, at + 1])
+                    now, rank = at, dict(zip(n[lo:hi].tolist(), before[lo:hi].tolist()))
+                if why in ("empty", "missing"):
+                    found.append(None)
+                    seg.append(None)
+                    continue
+                length = 0 if why else length
+                k = rank[length]
+                rank[length] = k + 1
+                if why:
+                    found.append(f"0-0-{bins + k}")
+                    seg.append(0)
+                    continue
+                ranks, mine = of(length)
+                _, first, b, each, s = mine[bisect_right(ranks, k) - 1]
+                found.append(f"0-0-{b + (k - first) // each}")
+                seg.append(s + (k - first) % each)
+            yield from batch_of(batch, found, seg)
+
+    return ranged.repartition("g").sortWithinPartitions("g", "row_id", "input_ids", "labels").mapInArrow(run, PACKED)
+
+
+def packed_groups(rows: DataFrame, max_length: int, group_tokens: int) -> DataFrame:
+    """Packings of groups of about ``group_tokens`` ids, each held by its task as Arrow arrays; a group that grows beyond twice its size (one id repeated over and over) is packed in pieces of the order (row id, ids)."""
+    total = rows.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
 
     def packed(t: pa.Table, piece: int) -> Iterator[pa.RecordBatch]:
@@ -176,12 +309,7 @@ def pack(df: DataFrame, row_id: str, max_length: int = 2048, group_tokens: int =
         g = t.column("g")[0].as_py()
         for lo in range(0, len(order), 1024):
             at = order[lo : lo + 1024]
-            part = t.take(at)
-            lengths = [max(0, int(size[i])) for i in at]
-            positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])), mask=pa.array([bin_of[i] < 0 for i in at]))
-            bins = pa.array([None if bin_of[i] < 0 else f"{g}-{piece}-{bin_of[i]}" for i in at], pa.string())
-            cols = [bins, pa.array(seg[lo : lo + 1024], pa.int32()), part.column("row_id"), part.column("input_ids"), part.column("labels"), positions, part.column("fault")]
-            yield from pa.table(cols, names=names).combine_chunks().to_batches()
+            yield from batch_of(t.take(at), [None if bin_of[i] < 0 else f"{g}-{piece}-{bin_of[i]}" for i in at], seg[lo : lo + 1024])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -205,8 +333,5 @@ def pack(df: DataFrame, row_id: str, max_length: int = 2048, group_tokens: int =
         if held:
             yield from packed(pa.Table.from_batches(held), piece)
 
-    size = F.size("input_ids")
-    wrong = F.when(F.col("input_ids").isNull(), "missing").when(size == 0, "empty").when(size > max_length, "too_long").alias("fault")
-    group = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(groups)).alias("g")
-    rows = df.select(group, F.coalesce(size, F.lit(0)).alias("n"), F.col(row_id).cast("string").alias("row_id"), ids.alias("input_ids"), F.col("labels").cast("array<int>").alias("labels"), wrong)
-    return rows.repartition("g").sortWithinPartitions("g", "row_id", "input_ids").mapInArrow(run, PACKED)
+    group = F.pmod(F.xxhash64("row_id"), F.lit(groups))
+    return rows.withColumn("g", group).repartition("g").sortWithinPartitions("g", "row_id", "input_ids").mapInArrow(run, PACKED)

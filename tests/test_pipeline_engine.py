@@ -170,6 +170,37 @@ def test_best_fit_against_a_plain_loop():
         assert precompiled.best_fit(lengths, 12) == [want[i] for i in range(40)]
 
 
+def test_packing_by_counts_is_best_fit():
+    from collections import Counter
+
+    g = __import__("random").Random(5)
+    for _ in range(300):
+        size = g.choice((1, 5, 12, 64))
+        lengths = [g.randint(1, g.choice((size, max(1, size // 3)))) for _ in range(g.randint(0, 90))]
+        pieces, bins = precompiled.fit_counts(Counter(lengths), size)
+        rank, got, segs = Counter(), [], {}
+        for i, n in enumerate(lengths):
+            _, first, b, each, seg = [p for p in pieces if p[0] == n and p[1] <= rank[n]][-1]
+            got.append(b + (rank[n] - first) // each)
+            segs.setdefault(got[-1], []).append((-n, i, seg + (rank[n] - first) % each))
+            rank[n] += 1
+        assert got == precompiled.best_fit(lengths, size) and bins == len(set(got))
+        assert all([x[2] for x in sorted(s)] == list(range(len(s))) for s in segs.values())
+
+
+def test_packing_of_a_large_table_is_one_packing(spark):
+    """18 million ids: the bins of the whole table, not of parts of it."""
+    rows = spark.range(9000).selectExpr("id", "array_repeat(1, int(if(id % 100 = 7, 4097, 500 + id * 37 % 3001))) as input_ids", "array(1) as labels")
+    got = precompiled.pack(rows, "id", 4096).selectExpr("row_id", "bin_id", "seg_no", "fault", "size(input_ids) as n", "size(position_ids) as p").collect()
+    order = sorted(got, key=lambda r: r.row_id)
+    fit, long = [r for r in order if r.n <= 4096], [r for r in order if r.n > 4096]
+    want = precompiled.best_fit([r.n for r in fit], 4096)
+    assert sum(r.n for r in got) > 16_000_000 and len(got) == 9000 and all(r.n == r.p for r in got)
+    assert [r.bin_id for r in fit] == [f"0-0-{b}" for b in want] and [r.bin_id for r in long] == [f"0-0-{max(want) + 1 + i}" for i in range(90)]
+    assert all(r.fault is None for r in fit) and all(r.fault == "too_long" and r.seg_no == 0 for r in long)
+    assert sorted((r.bin_id, r.seg_no) for r in got) == sorted((b, i) for b, n in __import__("collections").Counter(r.bin_id for r in got).items() for i in range(n))
+
+
 def test_whole_build_gate_and_refusals(spark, tmp_path):
     rows = [("a", "b"), ("a", "b"), ("x", " "), ("long", "z" * 5000)]
     spec = SourceSpec("pairs", "d", None, "train", "r", "MIT", 10**6, "aya", columns=("inputs", "targets"))
