@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tessera.functions import text as T
+from tessera.functions.batches import pieces
 from tessera.functions.canonical import decode
 from tessera.operators.tokenizers import ByteTokenizer, TokenizerFailure, TokenizerTimeout, batch_encode, one_encode
 from tessera.plans import render, template
@@ -115,8 +116,7 @@ def compile_rows(df: DataFrame, tokenizer: Any = None, max_length: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
-            for lo in range(0, full.num_rows, batch):
-                part = full.slice(lo, batch)
+            for part in pieces(full, batch):
                 cols = list(zip(*work(part.select([c for c in ("messages_json", "tools_json", "rejection", "preserve_thinking", *OPTIONS) if c in part.schema.names]).to_pylist())))
                 kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.int64()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(list(c), t) for c, t in zip(cols, kinds))], names=schema.names)
@@ -149,9 +149,9 @@ def rendered_rows(df: DataFrame, form: str = "plan", **options: Any) -> DataFram
             return "invalid", None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for full in batches for part in pieces(full)):
             rows = batch.select([c for c in ("messages_json", "tools_json", "preserve_thinking", *OPTIONS) if c in kept]).to_pylist()
-            cols = list(zip(*map(one, rows))) or [()] * 3
+            cols = zip(*map(one, rows))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32())))], names=schema.names)
 
     return df.select(*kept).mapInArrow(run, schema)

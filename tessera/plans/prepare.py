@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import small_batches
 from tessera.operators import adapters, mixture
 from tessera.operators.compile import compile_rows
 from tessera.protocol import Invalid
@@ -86,7 +87,8 @@ def prepare(spark: SparkSession, output: str | Path, sources: tuple[SourceSpec,
             continue
         adapter = (custom or {}).get(spec.adapter, spec.adapter)
         build = lambda rows, a=adapter: compile_rows(candidates(rows, a, limits), tokenizer, max_length, compile_batch)
-        done = fill_quota(read(spark, spec, seed + k), spec.quota, outcomes, build, save, name, first_span, progress)
+        with small_batches(spark):
+            done = fill_quota(read(spark, spec, seed + k), spec.quota, outcomes, build, save, name, first_span, progress)
         outcomes = done if outcomes is None else outcomes.unionByName(done)
     counts, lost = {}, {}
     if outcomes is not None:

@@ -18,6 +18,7 @@ from pyspark.sql import types as ST
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.functions.batches import pieces
 from tessera.protocol import Invalid
 from tessera.sources import hub, remote, storage
 from tessera.sources.catalogue import SourceSpec
@@ -66,7 +67,7 @@ def json_lines(spark: SparkSession, paths: list[str], columns: tuple[str, ...] |
         return lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for full in batches for part in pieces(full)):
             yield pa.RecordBatch.from_arrays([pa.array([projected(x, columns) for x in batch.column(0).to_pylist()], pa.string())], names=["raw"])
 
     return lines.mapInArrow(run, "raw string")

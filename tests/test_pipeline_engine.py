@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,47 @@ def test_build_stops_at_the_quota(spark, tmp_path, quota):
     assert not (tmp_path / ".out.work").exists()
 
 
+def test_workers_hold_little_of_a_batch(spark, monkeypatch):
+    """Rows of a batch become Python values a few at a time, with the same results and order; a large row comes alone."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tessera.functions import batches
+    from tessera.operators.compile import compile_rows
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda d, run, schema: run)
+    d = spark.createDataFrame([], "pos bigint, inputs string, targets string")
+    m = spark.createDataFrame([], "pos bigint, messages_json string, tools_json string, rejection string")
+    rows = [(i, f"q{i}", "a" * (400_000 if i == 777 else 1000 if i % 2 else 5)) for i in range(3000)]
+    full = pa.table([pa.array(x) for x in zip(*rows)], names=["pos", "inputs", "targets"]).combine_chunks().to_batches()
+    found = list(adapters.adapt(d, "aya", ("pos",))(iter(full)))
+    got = pa.Table.from_batches(found).to_pylist()
+    assert [(r["pos"], r["messages_json"], r["rejection"]) for r in got] == [(i, f'[{{"content":"{a}","role":"user"}},{{"content":"{b}","role":"assistant"}}]', None) for i, a, b in rows]
+    assert all(x.num_rows <= batches.ROWS and (x.num_rows == 1 or x.nbytes < 2 * batches.BYTES) for x in found)
+    sent = pa.Table.from_batches(found).select(["pos", "messages_json", "tools_json", "rejection"]).combine_chunks().to_batches()
+    done = list(compile_rows(m, ByteTokenizer(), None, 3000)(iter(sent)))
+    assert [r["pos"] for x in done for r in x.to_pylist()] == list(range(3000)) and all(n > 0 for x in done for n in x.column("target_tokens").to_pylist())
+    assert all(x.num_rows == 1 or x.nbytes < 14 * batches.BYTES for x in done)
+    assert not list(batches.pieces(full[0].slice(0, 0)))
+
+
+def test_build_sends_small_batches_and_restores_the_setting(spark, tmp_path):
+    from tessera.functions.batches import SENT
+
+    seen, before = [], spark.conf.get(SENT)
+
+    def provide(s, spec, seed):
+        seen.append(int(s.conf.get(SENT)))
+        if spec.name == "bad":
+            raise ValueError("no rows")
+        return s.createDataFrame([(i, f"q{i}", "a") for i in range(2000)], "pos bigint, " + PAIRS)
+
+    specs = [SourceSpec(n, "d", None, "train", "r", "MIT", 10**6, "aya") for n in ("good", "bad")]
+    assert prepare(spark, tmp_path / "a", tuple(specs[:1]), row_provider=provide)["total_rows"] == 2000
+    with pytest.raises(ValueError):
+        prepare(spark, tmp_path / "b", tuple(specs[1:]), row_provider=provide)
+    assert seen == [512, 512] and spark.conf.get(SENT) == before == "10000"
+
+
 def test_build_of_files_is_the_same_under_two_splits(spark, tmp_path):
     rows = [(f"q{i % 50}", f"a{i % 70}") for i in range(400)]
     (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"inputs": a, "targets": b}) for a, b in rows))
