@@ -30,6 +30,12 @@ def candidates(rows: DataFrame, adapter: str | Callable, limits: dict[str, Any])
     return adapters.adapt(rows.select(ORDER, raw) if raw else rows, adapter, (ORDER,), raw_json=raw, **limits)
 
 
+def needed(compiled: DataFrame) -> DataFrame:
+    """What the build reads of compiled rows: no mask, and ids of good rows alone. Rejected rows are counted only, and those too long would fill a reader's memory."""
+    good = F.col("rejection").isNull()
+    return compiled.withColumns({c: F.when(good, F.col(c)) for c in ("input_ids", "labels")}).drop("assistant_mask")
+
+
 def fill_quota(rows: DataFrame, quota: int, accepted: DataFrame | None, build: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, str], DataFrame], name: str, first: int = FIRST_SPAN, progress: Callable[[dict[str, Any]], None] | None = None) -> DataFrame:
     """Outcomes of one source, worked off in spans of its order until its accepted tokens reach the quota.
 
@@ -86,7 +92,7 @@ def prepare(spark: SparkSession, output: str | Path, sources: tuple[SourceSpec,
         if spec.quota == 0:
             continue
         adapter = (custom or {}).get(spec.adapter, spec.adapter)
-        build = lambda rows, a=adapter: compile_rows(candidates(rows, a, limits), tokenizer, max_length, compile_batch)
+        build = lambda rows, a=adapter: needed(compile_rows(candidates(rows, a, limits), tokenizer, max_length, compile_batch))
         with small_batches(spark):
             done = fill_quota(read(spark, spec, seed + k), spec.quota, outcomes, build, save, name, first_span, progress)
         outcomes = done if outcomes is None else outcomes.unionByName(done)

@@ -338,6 +338,20 @@ def test_build_sends_small_batches_and_restores_the_setting(spark, tmp_path):
     assert seen == [512, 512] and spark.conf.get(SENT) == before == "10000"
 
 
+def test_build_keeps_no_ids_of_rejected_rows(spark, tmp_path):
+    """Their arrays are of any length, and a Parquet reader holds thousands of rows at a time."""
+    rows = [(i, f"q{i}", "z" * (20_000 if i % 2 else 3) if i % 5 else " ") for i in range(40)]
+    spec = SourceSpec("one", "d", None, "train", "r", "MIT", 10**6, "aya")
+    done = prepare(spark, tmp_path / "out", (spec,), row_provider=lambda s, *_: s.createDataFrame(rows, "pos bigint, " + PAIRS), keep_work=True)
+    assert done["sources"][0]["rejected"] == {"too_long": 16, "invalid": 8} and done["total_rows"] == 16
+    for name in ("compiled-one-0", "outcomes-one-0"):
+        work = spark.read.parquet(f"{tmp_path}/.out.work/{name}")
+        assert work.count() == 40 and work.where("rejection is not null and (input_ids is not null or labels is not null)").count() == 0
+        assert work.where("rejection is null and size(input_ids) = size(labels)").count() == 16 and "assistant_mask" not in work.columns
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert table.where("size(input_ids) = size(labels) and target_tokens > 0").count() == table.count() == 16
+
+
 def test_build_of_files_is_the_same_under_two_splits(spark, tmp_path):
     rows = [(f"q{i % 50}", f"a{i % 70}") for i in range(400)]
     (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"inputs": a, "targets": b}) for a, b in rows))
